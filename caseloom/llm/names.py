@@ -40,7 +40,7 @@ _LEGAL_PHRASES = re.compile(r"\b(limited liability partnership|public limited co
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i"})
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def fold(text: str) -> str:
     """Lower case, without accents; what is no letter or digit becomes one blank, apostrophes and dots inside words vanish."""
     t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower().translate(_LETTERS)
@@ -48,7 +48,7 @@ def fold(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", t).strip()
 
 
-@lru_cache(500_000)
+@lru_cache(50_000)
 def osa(a: str, b: str, most: int = 3) -> int:
     """Edits between a and b, a swap of neighbours counting one; most + 1 if there are more."""
     if a == b:
@@ -69,7 +69,7 @@ def osa(a: str, b: str, most: int = 3) -> int:
     return min(last[-1], most + 1)
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def sounded(word: str) -> str:
     """One spelling for letters that sound alike, doubled letters once; q-grams and edits are counted on it."""
     for old, new in (("ph", "f"), ("qu", "kw"), ("ck", "k"), ("c", "k"), ("x", "ks"), ("ie", "y"), ("ey", "y")):
@@ -167,7 +167,7 @@ def person_likeness(a: tuple[str, tuple[str, ...]], b: tuple[str, tuple[str, ...
     return (2 * s + sum(each) / n) / 3
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def company_words(name: str | None) -> tuple[str, ...]:
     """A company's telling words, in order; legal forms left out unless nothing else is left."""
     t = (name or "").replace("&", " and ")
@@ -179,7 +179,7 @@ def company_words(name: str | None) -> tuple[str, ...]:
     return kept or tuple(words)
 
 
-@lru_cache(300_000)
+@lru_cache(50_000)
 def same_word(a: str, b: str) -> float:
     """Likeness of two telling words: equal, abbreviated, or a typo apart; else 0."""
     if a == b:

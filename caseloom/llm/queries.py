@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caseloom.llm.matching import matches
+from caseloom.llm.pagebody import body_lines
+from caseloom.llm.places import same_place
 from caseloom.llm.stuffed import stuffed_pages
 from caseloom.llm.tokens import token_ids
 from caseloom.llm.variants import name_variants
 from caseloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return body_lines(table(spark, d, "site_page"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_place(table(spark, d, "company_profile"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return matches(table(spark, d, "officers"), table(spark, d, "sanctions_result")).select("officer_row_id", "result_id").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants(table(spark, d, "officers"), table(spark, d, "appointments"))
 
@@ -22,6 +37,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
 #: None of these can be put into SQL over whole tables; tests hold them against libraries, brute force or held-out rows.
 ORACLES: dict[str, str] = {}
