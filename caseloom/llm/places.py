@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.addressparts import STREET_TYPES, UNIT_WORDS, parts_of
+from caseloom.llm.addressparts import BUILDINGS, STREET_TYPES, UNIT_WORDS, parts_of
 from caseloom.llm.names import is_short_for, osa
 from caseloom.llm.spread import spread
 from caseloom.session import cut
@@ -28,6 +28,7 @@ ROUNDS = 8
 EVIDENCE, SHARE = 6.0, 0.5
 #: Rewrites of words for kinds of street and of units are held in memory, at most so many, the best supported; others are left to the slots.
 WORD_REWRITES = 5_000
+_FULL_WORDS = sorted(STREET_TYPES | UNIT_WORDS)
 _PARTS = ("number", "unit", "postcode", "street", "kind", "town", "pair", "before_1", "before_2")
 _STRUCT = T.StructType([T.StructField(p, T.StringType()) for p in _PARTS])
 
@@ -90,30 +91,38 @@ def slot_values(parts: DataFrame) -> DataFrame:
 def mine(parts: DataFrame) -> DataFrame:
     """(slot, value, normal, evidence): the significant rewrites that these parts give.
 
-    In each anchor only the most frequent value meets the others, so meetings
-    are linear in the addresses. A kind of street or unit word is rewritten to a
+    In each anchor only the most frequent value (of words for kinds and units,
+    the full words) meets the others, so meetings are linear in the addresses. A kind of street or unit word is rewritten to a
     full word only, and a full word never is.
     """
     seen = slot_values(parts).groupBy("slot", "anchor", "value").agg(F.count(F.lit(1)).alias("n"))
     seen = cut(seen)
     overall = seen.groupBy("slot", "value").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("anchors"))
     seen = seen.join(overall, ["slot", "value"])
-    full = F.col("value").isin(*sorted(STREET_TYPES | UNIT_WORDS))
+    full = F.col("value").isin(*_FULL_WORDS)
     worded = F.col("slot").isin("kind", "unit_word")
-    rank = F.struct(F.when(worded, full.cast("int")).otherwise(0), "total", "value")
-    hub = F.max(F.struct(rank.alias("r"), F.col("value").alias("v"), F.col("total").alias("t"))).over(Window.partitionBy("slot", "anchor"))
-    met = seen.withColumn("hub", hub).where("value <> hub.v").where(~worded | (~full & F.col("hub.v").isin(*sorted(STREET_TYPES | UNIT_WORDS))))
-    pairs = met.groupBy("slot", "value", F.col("hub.v").alias("normal")).agg(
-        F.count(F.lit(1)).alias("meetings"), F.first("anchors").alias("a"), F.first(F.col("hub.t")).alias("b"), F.first("total").alias("own")
+    hub = F.max(F.struct("total", F.col("value").alias("v"))).over(Window.partitionBy("slot", "anchor"))
+    spelled = seen.where(~worded).withColumn("hub", hub).where("value <> hub.v").select("slot", "value", "anchors", "total", F.col("hub.v").alias("normal"), F.col("hub.total").alias("b"))
+    # The full words of an anchor are a few of a fixed list, so all of them meet its other words.
+    fulls = F.collect_set(F.when(full, F.struct(F.col("value").alias("v"), F.col("total").alias("t")))).over(Window.partitionBy("slot", "anchor"))
+    words = seen.where(worded).withColumn("fulls", fulls).where(~full & ~F.col("value").isin(*sorted(BUILDINGS)))
+    words = words.select("slot", "value", "anchors", "total", F.explode("fulls").alias("f")).select("slot", "value", "anchors", "total", F.col("f.v").alias("normal"), F.col("f.t").alias("b"))
+    met = spelled.unionByName(words)
+    pairs = met.groupBy("slot", "value", "normal").agg(
+        F.count(F.lit(1)).alias("meetings"), F.first("anchors").alias("a"), F.first("b").alias("b"), F.first("total").alias("own")
     )
     sizes = overall.groupBy("slot").agg(F.sum("anchors").alias("all_anchors"))
     scored = pairs.join(F.broadcast(sizes), "slot").withColumn("alike", _unlikeness("slot", "value", "normal"))
     met_share = F.col("meetings") / F.col("a")
     chance = F.least(F.col("b") / F.col("all_anchors"), F.lit(0.9))
     ratio = F.col("meetings") * F.log(F.greatest(met_share / chance, F.lit(1.0)))
-    evidence = F.col("alike") + F.least(ratio, F.lit(20.0)) * F.when(F.col("alike") > 0, 1.0).otherwise(0.0)
-    enough = scored.withColumn("evidence", evidence).where((F.col("evidence") >= EVIDENCE) & (F.col("alike") > 0) & ((met_share >= SHARE) | worded))
-    best = enough.groupBy("slot", "value").agg(F.max(F.struct("meetings", "evidence", "normal", "b", "own")).alias("m"))
+    evidence = F.col("alike") + F.least(ratio, F.lit(20.0))
+    # A word before units may stand for another that it isn't like, if they meet often.
+    unlike = (F.col("slot") == "unit_word") & (F.col("meetings") >= 3) & (met_share >= SHARE) & (ratio >= EVIDENCE / 2)
+    enough = scored.withColumn("evidence", evidence).where(
+        unlike | ((F.col("evidence") >= EVIDENCE) & (F.col("alike") > 0) & ((met_share >= SHARE) | worded))
+    )
+    best = enough.groupBy("slot", "value").agg(F.max(F.struct((F.col("alike") > 0).cast("int").alias("like"), "meetings", "evidence", "normal", "b", "own")).alias("m"))
     return best.select("slot", "value", F.col("m.normal").alias("normal"), F.col("m.evidence").alias("evidence"), F.col("m.meetings").alias("meetings"))
 
 
