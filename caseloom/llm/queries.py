@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseloom.llm.matching import matches
+from caseloom.llm.mixing import mix, shares
 from caseloom.llm.pagebody import body_lines
 from caseloom.llm.places import same_place
 from caseloom.llm.stuffed import stuffed_pages
@@ -33,10 +35,27 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix, and how often each is taken."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source should have, and has, in the mix."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_target")
+    return shares(mix(documents, targets), documents, targets)
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matched rows with the marginal probability of the match, to four places."""
+    found = matches(table(spark, d, "officers"), table(spark, d, "sanctions_result"))
+    return found.select("officer_row_id", "result_id", F.round("confidence", 4).alias("confidence"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p3_matches": p3_matches, "p10_found": p10_found}
 #: None of these can be put into SQL over whole tables; tests hold them against libraries, brute force or held-out rows.
 ORACLES: dict[str, str] = {}

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType
 
 from caseloom.llm.spread import spread
 
@@ -213,7 +214,7 @@ def token_ids(documents: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
 def token_counts(documents: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
     """documents with n_tokens BIGINT in place of text; other columns stay."""
     kept = [c for c in documents.columns if c != "text"]
-    schema = documents.select(*kept).schema.add("n_tokens", "bigint")
+    schema = documents.select(*kept).schema.add("n_tokens", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
