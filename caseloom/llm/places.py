@@ -70,6 +70,9 @@ def _unlikeness(slot: pd.Series, rare: pd.Series, frequent: pd.Series) -> pd.Ser
     return pd.Series([one(*x) for x in zip(slot, rare, frequent, strict=True)], dtype="float64")
 
 
+_unlikeness = _unlikeness.asNondeterministic()
+
+
 def slot_values(parts: DataFrame) -> DataFrame:
     """(slot, anchor, value) of every address: each part beside the other parts that pin it down."""
     slots = (
