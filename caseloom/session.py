@@ -61,12 +61,25 @@ def ship_package(spark: SparkSession) -> None:
     sc._caseloom_shipped = True
 
 
+def broadcast_by_measure(spark: SparkSession) -> None:
+    """Let joins be broadcast by the size measured at run time, never by an estimate.
+
+    Estimates of checkpointed and of Python stages are those of their inputs, and
+    may be far too small. The threshold stays what the session has.
+    """
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if threshold != "-1":
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query, run only after ship_package."""
+    """The query, run only after ship_package and broadcast_by_measure."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        broadcast_by_measure(spark)
         return query(spark, sf_dir)
 
     return run
