@@ -12,7 +12,7 @@ themselves.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,6 +179,37 @@ def person_clusters(parsed: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def may_be_one_company(ka: Column, kb: Column) -> Column:
+    """Whether two keys (telling words, joined by blanks) may be alike: true wherever company_likeness is above 0, and computed in the JVM.
+
+    Swaps count one in company_likeness and two here. An abbreviation has its
+    word's first letter and is about as many edits away as it is shorter.
+    """
+    wa, wb = F.split(ka, " "), F.split(kb, " ")
+
+    def like(x: Column, y: Column) -> Column:
+        n = F.least(F.length(x), F.length(y))
+        typo = F.levenshtein(x, y, 4).between(0, F.when(n < 4, 0).when(n < 8, 2).otherwise(4))
+        return typo | ((F.left(x, F.lit(1)) == F.left(y, F.lit(1))) & (F.levenshtein(x, y) <= F.abs(F.length(x) - F.length(y)) + 2))
+
+    def alone(words: Column, others: Column) -> Column:
+        return F.size(F.filter(words, lambda x: ~F.exists(others, lambda y: like(x, y))))
+
+    def glued(few: Column, many: Column) -> Column:
+        """One word of few is two of many, all others are alike."""
+        whole = F.exists(few, lambda w: F.exists(many, lambda x: w.startswith(x) | F.exists(many, lambda y: F.levenshtein(w, F.concat(x, y), 4) >= 0)))
+        return (alone(few, many) <= 1) & (alone(many, few) <= 2) & whole
+
+    more = F.size(wb) - F.size(wa)
+    joined = F.levenshtein(F.replace(ka, F.lit(" ")), F.replace(kb, F.lit(" ")), 4) >= 0
+    return (
+        F.when(more == 0, (alone(wa, wb) == 0) & (alone(wb, wa) == 0))
+        .when(more == 1, joined | glued(wa, wb))
+        .when(more == -1, joined | glued(wb, wa))
+        .otherwise(joined)
+    )
+
+
 def company_clusters(rows: DataFrame) -> DataFrame:
     """(id, name, registered BOOLEAN) -> (id, name, cluster): spellings of one company.
 
@@ -195,7 +226,7 @@ def company_clusters(rows: DataFrame) -> DataFrame:
     nodes = cut(keyed.groupBy("node").agg(F.first("key").alias("key"), F.max("registered").alias("registered"), F.sum("n").alias("n")))
     weights = gram_weights(nodes, "key", 3)
     bands = bands_for(COMPANY_SIMILARITY, COMPANY_ROWS, RECALL)
-    codes = cut(band_codes(spread(nodes, "node"), "node", "key", 3, bands, COMPANY_ROWS, weights).join(nodes.select("node", "registered"), "node"))
+    codes = cut(band_codes(spread(nodes, "node"), "node", "key", 3, bands, COMPANY_ROWS, weights).join(nodes.select("node", "registered", "key"), "node"))
     named = nodes.select("node", "key")
 
     @F.pandas_udf("double")
@@ -203,17 +234,15 @@ def company_clusters(rows: DataFrame) -> DataFrame:
         return pd.Series([N.company_likeness(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     like = like.asNondeterministic()
-    typed = codes.where("not registered").select(F.col("node").alias("a"), F.col("head").alias("ha"), "band", "code")
-    official = codes.where("registered").select(F.col("node").alias("b"), F.col("head").alias("hb"), "band", "code")
-    # The weightiest words must be alike, as far as the shorter goes; what else collided is dropped before it is shuffled.
-    shorter = F.least(F.length("ha"), F.length("hb"))
-    heads = F.levenshtein(F.left("ha", shorter), F.left("hb", shorter), 3) >= 0
+    typed = codes.where("not registered").select(F.col("node").alias("a"), F.col("key").alias("ka"), "band", "code")
+    official = codes.where("registered").select(F.col("node").alias("b"), F.col("key").alias("kb"), "band", "code")
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(named.withColumnsRenamed({"node": "a", "key": "ka"}), "a").join(named.withColumnsRenamed({"node": "b", "key": "kb"}), "b")
         return full.select("a", "b", like("ka", "kb").alias("likeness")).where(F.col("likeness") >= COMPANY_LIKENESS)
 
-    found = verify(typed.join(official, ["band", "code"]).where(heads).select("a", "b").distinct())
+    # What collided but can't be alike is dropped before it is shuffled.
+    found = verify(typed.join(official, ["band", "code"]).where(may_be_one_company(F.col("ka"), F.col("kb"))).select("a", "b").distinct())
     ranked = found.withColumns(
         {
             "k": F.row_number().over(Window.partitionBy("a").orderBy(F.desc("likeness"), "b")),
@@ -223,7 +252,7 @@ def company_clusters(rows: DataFrame) -> DataFrame:
     attached = ranked.where("k = 1 and (next is null or next < likeness)").select(F.col("a").alias("node"), F.col("b").alias("center"))
     attached = cut(attached)
     loose = cut(nodes.where("not registered").join(attached, "node", "left_anti"))
-    loose_codes = codes.drop("head").join(loose.select("node", "key", "n"), "node")
+    loose_codes = codes.join(loose.select("node", "n"), "node")
     edges = verify(bucket_pairs(loose_codes, "node", "key", "n"))
     stars = star_clusters(loose.select(F.col("node").alias("id"), F.col("n").cast("int").alias("weight")), edges).withColumnRenamed("id", "node")
     own = nodes.where("registered").select("node", F.col("node").alias("center"))

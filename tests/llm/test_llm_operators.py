@@ -241,6 +241,38 @@ def test_name_variants_of_small_tables(spark):
     assert got == {("officer", 1, 2), ("officer", 1, 6), ("officer", 2, 6), ("company", 1, 2)}
 
 
+def test_no_likeness_of_companies_is_dropped(spark):
+    rng = random.Random(11)
+    words = "optical holdings frostadver management partners north sea drainage bradom services abc investments".split()
+
+    def other(w):
+        k, i = rng.randrange(6), rng.randrange(max(len(w) - 1, 1))
+        return [w, w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w[:i] + w[i + 1 :], w[: max(3, len(w) // 2)], w[0] + "".join(c for c in w[1:] if c not in "aeiou"), w[:3] + "s"][k]
+
+    pairs = set()
+    for _ in range(4000):
+        a = rng.sample(words, rng.randint(1, 4))
+        b = [other(w) for w in a]
+        if len(b) > 1 and rng.random() < 0.4:
+            b = [b[1] + b[0] if rng.random() < 0.5 else b[0] + b[1], *b[2:]]
+        pairs |= {(" ".join(sorted(x)), " ".join(sorted(y))) for x, y in ((a, b), (b, a))}
+    pairs = [p for p in pairs if names.company_likeness(tuple(p[0].split()), tuple(p[1].split())) > 0]
+    assert len(pairs) > 1500
+    df = spark.createDataFrame(pairs, "ka string, kb string")
+    assert df.where(~variants.may_be_one_company(df.ka, df.kb)).collect() == []
+    far = spark.createDataFrame([("bradom marine", "bradom staffing"), ("bradom", "bradom marine staffing")], "ka string, kb string")
+    assert far.where(variants.may_be_one_company(far.ka, far.kb)).count() == 0
+
+
+def test_companies_whose_weightiest_words_differ(spark):
+    official = ["FROSTADVER OPTICAL HOLDINGS LTD", *(f"FROSTADVER {w} LTD" for w in ("MARINE", "STAFFING", "CATERING", "HAULAGE"))]
+    typed = ["Optiacl Holdings Frostadver", "Optiacl Brewing Limited", "Optiacl Joinery Limited", "Holdings Tirvaul", "Holdings Gralmoor", "Holdings Peskell"]
+    df = spark.createDataFrame([(i, n, i < len(official)) for i, n in enumerate(official + typed)], "id int, name string, registered boolean")
+    cluster = {r.name: r.cluster for r in variants.company_clusters(df).collect()}
+    assert cluster[typed[0]] == cluster[official[0]]
+    assert len({cluster[n] for n in official}) == len(official)
+
+
 # -- matching
 
 
