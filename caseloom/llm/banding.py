@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.session import cut
@@ -102,21 +102,22 @@ def band_codes(names: DataFrame, id_col: str, column: str, q: int, bands: int, r
     return names.select(id_col, column).where(F.col(column) != "").mapInArrow(run, f"{id_col} {kind}, band int, code bigint")
 
 
-def bucket_pairs(members: DataFrame, id_col: str, name: str, weight: str, most_edits: int | None = None) -> DataFrame:
+def bucket_pairs(members: DataFrame, id_col: str, name: str, weight: str, form: str | None = None, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Pairs (a, b) to verify: every member with its bucket's heaviest one, and with those next to it in the order of the name, and of the name read backwards.
 
     The number of pairs is linear in the members, whatever the buckets' sizes.
-    With most_edits, pairs whose names are further apart are dropped at once,
+    With may, pairs whose columns form it is false for are dropped at once,
     before anything else is shuffled.
     """
     bucket = Window.partitionBy("band", "code")
-    member = F.struct(F.col(id_col).alias("y"), F.col(name).alias("name_y"))
+    form = form or name
+    member = F.struct(F.col(id_col).alias("y"), F.col(form).alias("form_y"))
     sides = [bucket.orderBy(name, id_col), bucket.orderBy(F.reverse(name), id_col)]
     near = F.array(F.first(member).over(bucket.orderBy(F.desc(weight), id_col)), *(F.lag(member, i + 1).over(w) for w in sides for i in range(NEIGHBOURS)))
-    near = members.select(F.col(id_col).alias("x"), F.col(name).alias("name_x"), near.alias("near"))
-    pairs = near.select("x", "name_x", F.explode(F.array_distinct("near")).alias("n")).select("x", "name_x", "n.*").where("y is not null and x <> y")
-    if most_edits is not None:
-        pairs = pairs.where(F.levenshtein("name_x", "name_y", most_edits) >= 0)
+    near = members.select(F.col(id_col).alias("x"), F.col(form).alias("form_x"), near.alias("near"))
+    pairs = near.select("x", "form_x", F.explode(F.array_distinct("near")).alias("n")).select("x", "form_x", "n.*").where("y is not null and x <> y")
+    if may is not None:
+        pairs = pairs.where(may(F.col("form_x"), F.col("form_y")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -67,6 +67,16 @@ def person_profiles(rows: DataFrame, known: frozenset[str] | None = None) -> Dat
     )
 
 
+def may_be_one_surname(a: Column, b: Column) -> Column:
+    """Whether two surnames' forms (length; plain, without blanks; sound, the plain one's) may be alike: true wherever same_surname is above 0.
+
+    Swaps count one in same_surname and two here.
+    """
+    n = F.least(a["length"], b["length"])
+    most = F.when(n < 4, 0).when(n < 7, 1).otherwise(2)
+    return F.levenshtein(a["plain"], b["plain"], 4).between(0, 2 * most) | F.levenshtein(a["sound"], b["sound"], 2).between(0, 2 * most - 2)
+
+
 def surname_links(surnames: DataFrame) -> DataFrame:
     """(surname, n) -> (surname, linked, likeness) both ways, each with itself as well: spellings a few edits apart."""
     bands = bands_for(SURNAME_SIMILARITY, SURNAME_ROWS, RECALL)
@@ -75,9 +85,11 @@ def surname_links(surnames: DataFrame) -> DataFrame:
     def sound(words: pd.Series) -> pd.Series:
         return words.map(N.sounded)
 
-    numbered = surnames.withColumns({"sid": F.xxhash64("surname"), "sound": sound("surname")})
+    plain = F.replace("surname", F.lit(" "), F.lit(""))
+    form = F.struct(F.length("surname").alias("length"), plain.alias("plain"), sound(plain).alias("sound"))
+    numbered = cut(surnames.withColumns({"sid": F.xxhash64("surname"), "sound": sound("surname"), "form": form}))
     codes = band_codes(spread(numbered, "sid"), "sid", "sound", 2, bands, SURNAME_ROWS).join(numbered, "sid")
-    pairs = bucket_pairs(codes, "sid", "surname", "n", 2)
+    pairs = bucket_pairs(codes, "sid", "surname", "n", "form", may_be_one_surname)
     named = numbered.select("sid", "surname")
     pairs = pairs.join(named.withColumnsRenamed({"sid": "a", "surname": "sa"}), "a").join(named.withColumnsRenamed({"sid": "b", "surname": "sb"}), "b")
 

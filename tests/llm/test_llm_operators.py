@@ -241,6 +241,13 @@ def test_name_variants_of_small_tables(spark):
     assert got == {("officer", 1, 2), ("officer", 1, 6), ("officer", 2, 6), ("company", 1, 2)}
 
 
+@pytest.mark.parametrize(("a", "b"), [("wilanvaen", "wlianvane"), ("marapdpine", "marappdien"), ("ostephaxwell", "ostefakswel"), ("o maraxwick", "omaraxwcik")])
+def test_surnames_with_swaps_and_sounds_are_linked(spark, a, b):
+    assert names.same_surname(a, b) > 0
+    links = variants.surname_links(spark.createDataFrame([(a, 2), (b, 1)], "surname string, n bigint"))
+    assert {(a, b), (b, a)} <= {(r.surname, r.linked) for r in links.collect()}
+
+
 def test_no_likeness_of_companies_is_dropped(spark):
     rng = random.Random(11)
     words = "optical holdings frostadver management partners north sea drainage bradom services abc investments".split()
