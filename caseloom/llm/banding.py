@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.session import cut
@@ -17,8 +17,6 @@ _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789#"
 _CODES = np.full(256, 36, np.int64)
 for _i, _c in enumerate(_ALPHABET):
     _CODES[ord(_c)] = _i
-#: Neighbours, in a bucket in each of two orders, that a name is paired with beside the bucket's leader.
-NEIGHBOURS = 3
 #: Share of all q-grams that counts as common.
 COMMON_SHARE = 0.6
 #: Satellites on the way to a center, at most.
@@ -102,23 +100,12 @@ def band_codes(names: DataFrame, id_col: str, column: str, q: int, bands: int, r
     return names.select(id_col, column).where(F.col(column) != "").mapInArrow(run, f"{id_col} {kind}, band int, code bigint")
 
 
-def bucket_pairs(members: DataFrame, id_col: str, name: str, weight: str, form: str | None = None, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Pairs (a, b) to verify: every member with its bucket's heaviest one, and with those next to it in the order of the name, and of the name read backwards.
-
-    The number of pairs is linear in the members, whatever the buckets' sizes.
-    With may, pairs whose columns form it is false for are dropped at once,
-    before anything else is shuffled.
-    """
-    bucket = Window.partitionBy("band", "code")
-    form = form or name
-    member = F.struct(F.col(id_col).alias("y"), F.col(form).alias("form_y"))
-    sides = [bucket.orderBy(name, id_col), bucket.orderBy(F.reverse(name), id_col)]
-    near = F.array(F.first(member).over(bucket.orderBy(F.desc(weight), id_col)), *(F.lag(member, i + 1).over(w) for w in sides for i in range(NEIGHBOURS)))
-    near = members.select(F.col(id_col).alias("x"), F.col(form).alias("form_x"), near.alias("near"))
-    pairs = near.select("x", "form_x", F.explode(F.array_distinct("near")).alias("n")).select("x", "form_x", "n.*").where("y is not null and x <> y")
-    if may is not None:
-        pairs = pairs.where(may(F.col("form_x"), F.col("form_y")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def colliding_pairs(members: DataFrame, id_col: str, form: str, may: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs (a, b) that collide in a band and whose columns form may is true for."""
+    left = members.select("band", "code", F.col(id_col).alias("a"), F.col(form).alias("form_a"))
+    right = members.select("band", "code", F.col(id_col).alias("b"), F.col(form).alias("form_b"))
+    met = left.join(right, ["band", "code"]).where("a < b")
+    return met.where(may(F.col("form_a"), F.col("form_b"))).select("a", "b").distinct()
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

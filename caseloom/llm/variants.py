@@ -1,8 +1,9 @@
 """Variant spellings of persons' and companies' names.
 
-Distinct spellings, not rows, go through MinHash banding; what collides is
-verified by Monge-Elkan likeness, and clustered by stars. Persons: the bands
-find surnames that may be misspellings of each other; entries of linked
+Distinct spellings, not rows, are compared: companies that collide in MinHash
+bands, and surnames that become the same by deleting letters, which no pair
+that is alike escapes. All such pairs are verified by Monge-Elkan likeness, and
+clustered by stars. Persons: entries of linked
 surnames meet where their birth dates agree, and entries without birth date
 join the one person their name fits. Companies: a spelling typed by hand goes to
 the registered name it is likest to; those without one are clustered among
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.llm import names as N
-from caseloom.llm.banding import band_codes, bands_for, bucket_pairs, gram_weights, star_clusters
+from caseloom.llm.banding import band_codes, bands_for, colliding_pairs, gram_weights, star_clusters
 from caseloom.llm.spread import spread
 from caseloom.session import cut
 
 #: Likeness of q-gram sets at which the bands must find a pair, with what recall, and rows per band.
-SURNAME_SIMILARITY, COMPANY_SIMILARITY, RECALL = 0.45, 0.45, 0.96
-SURNAME_ROWS, COMPANY_ROWS = 3, 3
+COMPANY_SIMILARITY, RECALL = 0.45, 0.96
+COMPANY_ROWS = 3
 #: Words taken as given names: at least so often after a comma, and at most so many (the most frequent); others are decided by form.
 GIVEN_MIN, GIVEN_MOST = 5, 20_000
 #: Least Monge-Elkan likeness of persons with one birth date, and of those where one has none.
@@ -77,19 +78,40 @@ def may_be_one_surname(a: Column, b: Column) -> Column:
     return F.levenshtein(a["plain"], b["plain"], 4).between(0, 2 * most) | F.levenshtein(a["sound"], b["sound"], 2).between(0, 2 * most - 2)
 
 
+def deletion_keys(word: str, most: int) -> set[str]:
+    """What word becomes by deleting up to most letters: two words at most that many edits apart (see names.osa), most being 2 or less, have one in common.
+
+    Keys are made of a word's beginning: what two words have in common after the
+    deletions begins alike too.
+    """
+    out = last = {word[:20]}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return {x[:18] for x in out}
+
+
 def surname_links(surnames: DataFrame) -> DataFrame:
-    """(surname, n) -> (surname, linked, likeness) both ways, each with itself as well: spellings a few edits apart."""
-    bands = bands_for(SURNAME_SIMILARITY, SURNAME_ROWS, RECALL)
+    """(surname, n) -> (surname, linked, likeness) both ways, each with itself as well: all that same_surname finds alike."""
 
     @F.pandas_udf("string")
     def sound(words: pd.Series) -> pd.Series:
         return words.map(N.sounded)
 
+    @F.pandas_udf("array<string>")
+    def keys(lengths: pd.Series, plain: pd.Series, sounds: pd.Series) -> pd.Series:
+        out = []
+        for n, word, heard in zip(lengths, plain, sounds, strict=True):
+            most = 0 if n < 4 else 1 if n < 7 else 2
+            out.append([*deletion_keys(word, most), *("~" + k for k in (deletion_keys(heard, most - 1) if most else ()))])
+        return pd.Series(out, index=lengths.index, dtype=object)
+
     plain = F.replace("surname", F.lit(" "), F.lit(""))
     form = F.struct(F.length("surname").alias("length"), plain.alias("plain"), sound(plain).alias("sound"))
-    numbered = cut(surnames.withColumns({"sid": F.xxhash64("surname"), "sound": sound("surname"), "form": form}))
-    codes = band_codes(spread(numbered, "sid"), "sid", "sound", 2, bands, SURNAME_ROWS).join(numbered, "sid")
-    pairs = bucket_pairs(codes, "sid", "surname", "n", "form", may_be_one_surname)
+    numbered = cut(spread(surnames.select("surname"), "surname").withColumns({"sid": F.xxhash64("surname"), "form": form}))
+    keyed = cut(numbered.select("sid", "form", F.explode(keys("form.length", "form.plain", "form.sound")).alias("key")).withColumn("key", F.xxhash64("key")))
+    left, right = (keyed.select("key", F.col("sid").alias(x), F.col("form").alias(f"form_{x}")) for x in "ab")
+    pairs = left.join(right, "key").where("a < b").where(may_be_one_surname(F.col("form_a"), F.col("form_b"))).select("a", "b").distinct()
     named = numbered.select("sid", "surname")
     pairs = pairs.join(named.withColumnsRenamed({"sid": "a", "surname": "sa"}), "a").join(named.withColumnsRenamed({"sid": "b", "surname": "sb"}), "b")
 
@@ -204,6 +226,9 @@ def may_be_one_company(ka: Column, kb: Column) -> Column:
         typo = F.levenshtein(x, y, 4).between(0, F.when(n < 4, 0).when(n < 8, 2).otherwise(4))
         return typo | ((F.left(x, F.lit(1)) == F.left(y, F.lit(1))) & (F.levenshtein(x, y) <= F.abs(F.length(x) - F.length(y)) + 2))
 
+    def all_like(words: Column, others: Column) -> Column:
+        return F.forall(words, lambda x: F.exists(others, lambda y: like(x, y)))
+
     def alone(words: Column, others: Column) -> Column:
         return F.size(F.filter(words, lambda x: ~F.exists(others, lambda y: like(x, y))))
 
@@ -215,7 +240,7 @@ def may_be_one_company(ka: Column, kb: Column) -> Column:
     more = F.size(wb) - F.size(wa)
     joined = F.levenshtein(F.replace(ka, F.lit(" ")), F.replace(kb, F.lit(" ")), 4) >= 0
     return (
-        F.when(more == 0, (alone(wa, wb) == 0) & (alone(wb, wa) == 0))
+        F.when(more == 0, all_like(wa, wb) & all_like(wb, wa))
         .when(more == 1, joined | glued(wa, wb))
         .when(more == -1, joined | glued(wb, wa))
         .otherwise(joined)
@@ -264,8 +289,8 @@ def company_clusters(rows: DataFrame) -> DataFrame:
     attached = ranked.where("k = 1 and (next is null or next < likeness)").select(F.col("a").alias("node"), F.col("b").alias("center"))
     attached = cut(attached)
     loose = cut(nodes.where("not registered").join(attached, "node", "left_anti"))
-    loose_codes = codes.join(loose.select("node", "n"), "node")
-    edges = verify(bucket_pairs(loose_codes, "node", "key", "n"))
+    loose_codes = codes.join(loose.select("node"), "node")
+    edges = verify(colliding_pairs(loose_codes, "node", "key", may_be_one_company))
     stars = star_clusters(loose.select(F.col("node").alias("id"), F.col("n").cast("int").alias("weight")), edges).withColumnRenamed("id", "node")
     own = nodes.where("registered").select("node", F.col("node").alias("center"))
     every = own.unionByName(attached).unionByName(stars)

@@ -248,6 +248,23 @@ def test_surnames_with_swaps_and_sounds_are_linked(spark, a, b):
     assert {(a, b), (b, a)} <= {(r.surname, r.linked) for r in links.collect()}
 
 
+def test_no_surname_in_a_crowd_is_missed(spark):
+    rng = random.Random(4)
+    crowd = sorted({"walwe" + "".join(rng.choice("hmckx") for _ in range(rng.randint(0, 4))) for _ in range(350)} | {"wal we", "wal", "wla", "x" * 90, "x" * 91 + "y" + "x" * 400, "x" * 400 + "yx" + "x" * 91, "a" * 30 + "bc", "a" * 30 + "cb"})
+    want = {(a, b) for a in crowd for b in crowd if names.same_surname(a, b) > 0}
+    got = variants.surname_links(spark.createDataFrame([(w, 1) for w in crowd], "surname string, n bigint")).collect()
+    assert {(r.surname, r.linked) for r in got} == want and len(got) == len(want)
+
+
+def test_all_colliding_companies_are_paired(spark):
+    typed = [f"Optical {a}{b}" for a in ("Frostadver", "Frostadvre", "Frostdaver", "Frosatdver") for b in (" Holdings", " Hldgs", " Holdigns", " Holdinsg", "Holdings")]
+    keys = [" ".join(sorted(names.company_words(n))) for n in typed]
+    df = spark.createDataFrame([(i, k, 0, 7) for i, k in enumerate(keys)], "node int, key string, band int, code int")
+    got = {tuple(r) for r in banding.colliding_pairs(df, "node", "key", variants.may_be_one_company).collect()}
+    alike = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if names.company_likeness(tuple(keys[i].split()), tuple(keys[j].split())) > 0}
+    assert len(alike) > 6 * len(keys) and alike <= got
+
+
 def test_no_likeness_of_companies_is_dropped(spark):
     rng = random.Random(11)
     words = "optical holdings frostadver management partners north sea drainage bradom services abc investments".split()
