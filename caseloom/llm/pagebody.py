@@ -140,7 +140,7 @@ def word_hashes(lines: list[str], known: dict[str, int]) -> tuple[np.ndarray, np
     """(hashed words of all lines, how many of each line); numbers count as one word, and neighbours are hashed as pairs too."""
     flat, sizes = [], []
     for line in lines:
-        words = ["0" if w[0].isdigit() else w for w in _WORD.findall(line.lower())][:60]
+        words = ["0" if w[0].isdigit() else w for w in _WORD.findall(line.lower())]
         grams = [*words, *(a + " " + b for a, b in zip(words, words[1:], strict=False)), *(["^" + words[0], words[-1] + "$"] if words else [])]
         for g in grams:
             h = known.get(g)

@@ -159,6 +159,12 @@ def test_long_pages_are_read_in_windows():
     assert len(set(found[0].tolist())) == len(found[0]) and (not len(found[0]) or found[0].max() < 1500)
 
 
+def test_all_words_of_long_lines_are_read():
+    line = "We moved twice. " * 40
+    (a, _), (b, n) = (pagebody.word_hashes([line + end], {}) for end in ("Accept all", "Robert Tal"))
+    assert n[0] == 2 * 122 + 1 and len(a) == len(b) and (a != b).any()
+
+
 def test_body_rows(spark):
     df = spark.createDataFrame([(1, PAGE, 0), (1, PAGE, 0), (2, None, 0), (3, "", 0), (4, "\n\n", 0)], "page_id bigint, text string, line_no int")
     got = pagebody.body_lines(df).collect()
