@@ -29,8 +29,8 @@ from caseloom.llm.spread import spread
 #: Pages that seed labels are made of, and the network is trained on; the only bound by number.
 TRAIN_PAGES = 2000
 WORDS, EMBED, HIDDEN, EPOCHS, BATCH, SEED = 1 << 13, 20, 24, 6, 48, 7
-#: Blocks that the LSTMs read at once; longer pages are read in windows of which OVERLAP blocks on each side only give context.
-WINDOW, OVERLAP = 400, 60
+#: Blocks of a page whose inputs are multiplied at once, and after which training starts a new sequence. Labelling reads pages whole.
+WINDOW = 400
 
 _END = re.compile(r"[.!?:;][\"”’»)]*$")
 _ELLIPSIS = re.compile(r"(…|\.\.\.)$")
@@ -183,11 +183,12 @@ class BlockLabeller:
         """One direction over (time, pages, size); where mask is 0 the state stays."""
         steps, n, _ = x.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        pre = x @ w[: x.shape[2]] + b
         out = np.zeros((steps, n, HIDDEN), np.float32)
         rec = w[x.shape[2] :]
         for t in range(steps):
-            z = pre[t] + h @ rec
+            if t % WINDOW == 0:
+                pre = x[t : t + WINDOW] @ w[: x.shape[2]] + b
+            z = pre[t % WINDOW] + h @ rec
             i, f, o = _sigmoid(z[:, :HIDDEN]), _sigmoid(z[:, HIDDEN : 2 * HIDDEN]), _sigmoid(z[:, 2 * HIDDEN : 3 * HIDDEN])
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[t][:, None]
@@ -288,42 +289,33 @@ def train(texts: list[str]) -> BlockLabeller:
     known: dict[str, int] = {}
     pages = []
     for text in texts:
-        lines = text.split("\n")[:WINDOW]
-        pages.append((*page_vectors(lines, known), np.array(seed_labels(lines), np.float32)))
+        lines = text.split("\n")
+        forms, words, sizes = page_vectors(lines, known)
+        labels, ends = np.array(seed_labels(lines), np.float32), np.concatenate(([0], np.cumsum(sizes)))
+        for at in range(0, len(lines), WINDOW):
+            to = min(at + WINDOW, len(lines))
+            pages.append((forms[at:to], words[ends[at] : ends[to]], sizes[at:to], labels[at:to]))
     model = BlockLabeller()
     if pages:
         model.fit(pages)
     return model
 
 
-def _windows(n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(from, to, first kept, last kept) of the windows over n blocks."""
-    begin = 0
-    while True:
-        end = min(n, begin + WINDOW)
-        yield begin, end, begin + (OVERLAP if begin else 0), end - (OVERLAP if end < n else 0)
-        if end == n:
-            return
-        begin = end - 2 * OVERLAP
-
-
 def label_pages(model: BlockLabeller, texts: list[str], known: dict[str, int]) -> list[np.ndarray]:
     """Numbers of the body's lines, for each text."""
-    jobs, found = [], [[] for _ in texts]
-    for i, text in enumerate(texts):
-        lines = text.split("\n")
-        blank = np.array([not x.strip() for x in lines])
-        for begin, end, keep_from, keep_to in _windows(len(lines)):
-            jobs.append((i, begin, keep_from, keep_to, page_vectors(lines[begin:end], known), blank))
-    jobs.sort(key=lambda j: len(j[4][2]))
-    for at in range(0, len(jobs), 128):
-        part = jobs[at : at + 128]
-        x, mask = model.batch([j[4] for j in part])
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    lines = [text.split("\n") for text in texts]
+    order = sorted(range(len(texts)), key=lambda i: -len(lines[i]))
+    while order:
+        # The longest first; as many with it as are 128 windows together, padded.
+        n = min(128, max(1, 128 * WINDOW // len(lines[order[0]])))
+        part, order = order[:n], order[n:]
+        x, mask = model.batch([page_vectors(lines[i], known) for i in part])
         p = model.forward(x, mask)
-        for k, (i, begin, keep_from, keep_to, _, blank) in enumerate(part):
-            rows = np.arange(keep_from, keep_to)
-            found[i].append(rows[(p[rows - begin, k] >= 0.5) & ~blank[rows]])
-    return [np.sort(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
+        for k, i in enumerate(part):
+            blank = np.array([not t.strip() for t in lines[i]])
+            found[i] = np.flatnonzero((p[: len(blank), k] >= 0.5) & ~blank)
+    return found
 
 
 def body_lines(pages: DataFrame) -> DataFrame:

@@ -165,6 +165,23 @@ def test_all_words_of_long_lines_are_read():
     assert n[0] == 2 * 122 + 1 and len(a) == len(b) and (a != b).any()
 
 
+def test_long_pages_are_read_whole():
+    model = pagebody.BlockLabeller()
+    lines = [f"Line {i} of it{'.' if i % 3 else ''}" + " | more" * (i % 2) for i in range(1500)]
+    x, mask = model.batch([pagebody.page_vectors(lines, {})])
+    want = np.flatnonzero(model.forward(x, mask)[:, 0] >= 0.5)
+    found = pagebody.label_pages(model, ["x", "\n".join(lines)], {})
+    assert found[1].tolist() == want.tolist()
+    seen = []
+    model.fit = pagebody.BlockLabeller.fit
+    pagebody.BlockLabeller.fit = lambda self, pages: seen.extend(pages)
+    try:
+        pagebody.train(["\n".join(lines)])
+    finally:
+        pagebody.BlockLabeller.fit = model.fit
+    assert sum(len(p[3]) for p in seen) == 1500 and all(len(p[1]) == p[2].sum() for p in seen)
+
+
 def test_body_rows(spark):
     df = spark.createDataFrame([(1, PAGE, 0), (1, PAGE, 0), (2, None, 0), (3, "", 0), (4, "\n\n", 0)], "page_id bigint, text string, line_no int")
     got = pagebody.body_lines(df).collect()
