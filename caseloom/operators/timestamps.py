@@ -63,7 +63,7 @@ def _map(pairs: dict[str, int]) -> Column:
     return F.create_map(*(F.lit(x) for x in chain.from_iterable(pairs.items())))
 
 
-def _settle(df: DataFrame, **cols: Column) -> DataFrame:
+def settle(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns behind a one-row generator, which the optimiser doesn't merge with what is built on them: each is computed once."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in cols.items())))))
 
@@ -81,17 +81,17 @@ def parse_written_time(df: DataFrame, text: str, day_first: str) -> DataFrame:
     day_first counts as true. Two-digit years below 69 are in this century.
     """
     s = F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
-    out = _settle(df, _s=s)
+    out = settle(df, _s=s)
     form = F.when(F.length("_s") > 80, None)
     for name, pattern in _FORMS.items():
         form = form.when(F.col("_s").rlike(pattern), F.lit(name))
-    out = _settle(out, _form=form)
+    out = settle(out, _form=form)
     parts = F.when(F.col("_form").isNull(), None)
     for name, pattern in _FORMS.items():
         parts = parts.when(
             F.col("_form") == name, F.struct(*(F.regexp_extract("_s", pattern, i + 1).alias(p) for i, p in enumerate(_PARTS)))
         )
-    out = _settle(out, _p=parts)
+    out = settle(out, _p=parts)
     p = {k: _null_if_blank(F.col(f"_p.{k}")) for k in _PARTS}
     months = _map({n: k for k, names in MONTHS.items() for n in names.split()})
     first = F.coalesce(F.col(day_first), F.lit(True))
@@ -108,7 +108,7 @@ def parse_written_time(df: DataFrame, text: str, day_first: str) -> DataFrame:
     half = F.lower(p["half"])
     hour = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
     hour = F.when(p["hour"].isNull(), 0).otherwise(hour)
-    out = _settle(out, _year=year, _month=month, _day=day, _hour=hour)
+    out = settle(out, _year=year, _month=month, _day=day, _hour=hour)
     second = F.coalesce(num(p["second"]), F.lit(0))
     micro = F.rpad(F.substring(F.coalesce(p["fraction"], F.lit("")), 1, 6), 6, "0").cast("int")
     whole = F.try_make_timestamp_ntz(F.col("_year"), F.col("_month"), F.col("_day"), F.col("_hour"), F.coalesce(num(p["minute"]), F.lit(0)), F.lit(0).cast("decimal(16,6)"))
@@ -129,7 +129,7 @@ def parse_written_time(df: DataFrame, text: str, day_first: str) -> DataFrame:
     micros = (
         F.when(n.between(9, 11), count * 1_000_000).when(n.between(12, 14), count * 1_000).when(n.between(15, 17), count).when(n == 19, F.expr("_s").try_cast("bigint") / 1_000)
     ).cast("bigint")
-    return _settle(
+    return settle(
         out,
         epoch_micros=F.when(F.col("_form").isNull(), micros),
         local_time=F.when(~unknown_zone, local),
@@ -160,7 +160,7 @@ def estimate_zones(parsed: DataFrame) -> DataFrame:
     timed = parsed.where("feed is not null and local_time is not null").select(
         "feed", "local_time", "offset_minutes", "ingested_at", F.explode(zones).alias("z")
     )
-    timed = _settle(timed, utc=zone_micros(F.col("z.zone_name"), F.col("local_time")))
+    timed = settle(timed, utc=zone_micros(F.col("z.zone_name"), F.col("local_time")))
     utc = F.col("utc")
     own = ntz_micros(F.col("local_time")) - F.col("offset_minutes") * 60_000_000
     late = F.col("offset_minutes").isNull() & (utc > ntz_micros(F.col("ingested_at")))
