@@ -1,11 +1,17 @@
 """Keyword-stuffed, link-list and tag pages, by the shapes of their lines.
 
-Every line is reduced to a shape: runs of capitalised words, other words,
-numbers, separators and links, each written once. A line's kind follows from
-its word count, sentence ends, separators and links. Lines are grouped by
-document and shape, so what is shuffled per document is its distinct shapes,
-and documents most of whose characters stand in non-sentence kinds, of few
-shapes, are flagged. All in the JVM, over whole texts.
+Lines are cut at sentence stops into segments, and every segment is reduced to
+its form: one mark for each date, link, price, code, capitalised word, number
+and other word, with the separators between them. What kind of segment it is
+follows from the form alone: how many words, links, codes and separators, and
+whether a stop ends it. Equal marks in a row written once, and with its word
+count's magnitude, the form is the segment's shape (of a sentence only
+capitals and numbers are so joined). Segments are grouped by
+document and shape, so what is shuffled is a document's distinct shapes, and a
+document is flagged if most of its characters stand in few non-sentence shapes.
+Sentences are such shapes too where one of them is used again and again with a
+phrase repeated inside it: a form letter for a search phrase. All in the JVM,
+over whole texts.
 """
 
 from __future__ import annotations
@@ -13,98 +19,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A page is flagged if more than this share of its characters is stuffing ...
-STUFFED_SHARE = 0.5
-#: ... and this many of its shapes hold at least DOMINANT of the stuffed lines.
-FEW_SHAPES, DOMINANT = 12, 0.5
-#: Separators per word from which a line is a list, and different words per word below which it repeats itself.
+from caseloom.operators.timestamps import settle
+
+#: A page is flagged if more than this share of its characters stands in its FEW_SHAPES largest stuffed shapes.
+STUFFED_SHARE, FEW_SHAPES = 0.5, 12
+#: Separators per word from which a segment is a list, and different words per word below which it repeats itself.
 LIST_SEPARATORS, REPEATING = 0.2, 0.8
+#: Words without a stop from which a segment is no heading, and at most in a sentence.
+RUN_ON, LONGEST_SENTENCE = 25, 70
+#: A sentence's shape is a form letter's if so many segments of the document have it; such sentences are stuffed if this share of them repeats a phrase.
+FORM_LETTER, PHRASE_SHARE = 3, 0.3
+#: Share of a segment's word pairs that are repetitions, from which it is no sentence whatever ends it.
+REPEATED_PAIRS = 0.25
+
+_BREAKS = r"[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]+"
+_BLANKS = r"[\s\p{Z}]+"
+#: Where segments end. An exclamation mark ends one only before a capital: search phrases are strewn with them.
+_STOPS = ((r"([\p{L}\p{N}%)\]\"”’»]{2}[.?…]+[\"”’»)]*) ", "$1\n"), (r"(!) (\p{Lu})", "$1\n$2"), (r"([。！？।])", "$1\n"))
+_ENDS, _CALLS = r"[.?!…:;。！？।][\"”’»)]*$", r"![\"”’»)]*$"
+_DATE, _LINK, _PRICE, _CODE, _CAPITAL, _NUMBER, _WORD = "\u0001\u0002\u0003\u0004\u0005\u0006\u0007"
+_MARKS = (
+    (r"\p{N}{4}-\p{N}{2}-\p{N}{2}|\p{N}{1,2}[./]\p{N}{1,2}[./]\p{N}{4}|\p{N}{1,2}\.? \p{L}{3,10} \p{N}{4}", _DATE),
+    (r"(https?://|www\.|HTTPS?://|WWW\.)[^ ]*", _LINK),
+    (r"[£$€¥] ?\p{N}[\p{N}.,]*", _PRICE),
+    (r"[A-Z]{2,4}\p{N}{2,}|\p{N}{5,}", _CODE),
+    (r"\p{Lu}[\p{L}\p{M}\p{N}'’_@-]*", _CAPITAL),
+    (r"\p{N}[\p{N}.,:%/-]*", _NUMBER),
+    (r"[\p{L}@_][\p{L}\p{M}\p{N}'’_@-]*", _WORD),
+)
+_TOKENS = _DATE + _LINK + _PRICE + _CODE + _CAPITAL + _NUMBER + _WORD
+_PLAIN = _CAPITAL + _NUMBER + _WORD
+#: Words joined by dots without blanks are a link or written like one.
+_DOTTED = (rf"[{_PLAIN}]{{1,3}}(\.[{_PLAIN}]{{1,3}})+", _LINK)
+_SEPARATORS = "|/;,•·»›#=~>"
+_REFERENCE = rf"^(\[{_NUMBER}\]|\({_NUMBER}\)|{_NUMBER}\)?|\^{_NUMBER}) ?{_LINK}"
+
 
-_LINK = r"(?i)(https?://|www\.|href\s*=)"
-_BARE_DOMAIN = r"(?i)^\W*[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,12}(/\S*)?\W*$"
-_REFERENCE = r"^\s*(\[\d+\]|\(\d+\)|\d+[.)]|\^\d+)\s*\S*https?://"
-_DATE = r"(?U)(\b\d{1,2}\.?\s\p{L}{3,10}\s\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{4}\b)"
-_STOP = r"[\p{L}\p{N})\]\"”’»%][.!?…;:。！？؟।]+[\"”’»)]*(?=\s|$)|[。！？।]"
-_END = r"[\p{L}\p{N})\]\"”’»%][.!?…]+[\"”’»)]*(?=\s|$)|[。！？।]"
-_SEPARATOR = r"[|/;,•·»›#_=~>]"
-_PRODUCT = r"(?i)(\bSKU[\s-]?\d+|[£$€]\s?\d[\d,.]*(\s+\S+){1,2}\s*$|[£$€]\s?\d[\d,.]*\s*$)"
-_TAG = r"(#[\p{L}\p{N}_]+|\b[\p{L}\p{N}]+(_[\p{L}\p{N}]+)+\b)"
-_CODE = r"(?U)\b(\d{4,}|[A-Z]{2}\d{2,})\b"
+def _count(form: Column, marks: str) -> Column:
+    return F.length(form) - F.length(F.translate(form, marks, ""))
 
 
-def _count(text: str, pattern: str) -> Column:
-    return F.regexp_count(F.col(text), F.lit(pattern))
+def _replace(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, to in pairs:
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def line_shapes(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, shape, kind, lines, chars), blank lines left out.
+    """(doc_id, text) -> (doc_id, shape, kind, segments, chars, repeating), blank lines left out.
 
     kind: sentence, fact, heading (neutral), or one of the stuffed kinds link,
-    tag, product, keyword. Null, empty and blank texts have no rows.
+    product, keyword; repeating counts segments in which a pair of neighbouring
+    words comes twice. Null, empty and blank texts have no rows.
     """
-    lines = (
-        documents.select("doc_id", F.explode(F.split("text", r"[\n\r  \u0085]+")).alias("raw"))
-        .select("doc_id", F.trim(F.regexp_replace("raw", r"(?U)\s+", " ")).alias("line"))
-        .where("line <> ''")
+    lines = documents.select("doc_id", F.explode(F.split("text", _BREAKS)).alias("raw"))
+    lines = settle(lines.select("doc_id", "raw"), line=F.trim(F.regexp_replace("raw", _BLANKS, " "))).where("line <> ''")
+    cut = F.explode(F.split(_replace(F.col("line"), _STOPS), "\n")).alias("segment")
+    segments = lines.select("doc_id", cut).where("segment <> ''")
+    formed = settle(
+        segments,
+        form=_replace(F.col("segment"), (*_MARKS, _DOTTED)),
+        words=F.filter(F.split(F.lower("segment"), r"[^\p{L}\p{M}\p{N}@_]+"), lambda w: w != ""),
     )
-    counted = lines.withColumns(
-        {
-            "tokens": F.split(F.lower("line"), r"[\s|/;,•·»›]+"),
-            "words": _count("line", r"[\p{L}\p{N}@]+[\p{L}\p{N}@'’.-]*"),
-            "stops": _count("line", _END),
-            "seps": _count("line", _SEPARATOR),
-            "tags": _count("line", _TAG),
-            "codes": _count("line", _CODE),
-            "dates": _count("line", _DATE),
-            "links": _count("line", _LINK),
-        }
-    )
-    words = F.greatest("words", F.lit(1))
-    different = F.size(F.array_distinct("tokens")) / F.greatest(F.size("tokens"), F.lit(1))
-    prose = (F.col("stops") >= 1) & (words / F.greatest("stops", F.lit(1)) <= 70) & (words >= 3)
+    form = F.col("form")
+    formed = settle(
+        formed, n=F.greatest(_count(form, _TOKENS), F.lit(1)), links=_count(form, _LINK), codes=_count(form, _CODE), prices=_count(form, _PRICE), dates=_count(form, _DATE),
+        seps=_count(form, _SEPARATORS), different=F.size(F.array_distinct("words")), pairs=F.zip_with(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda b, a: F.concat(a, F.lit(" "), b)),
+    )
+    formed = settle(formed, again=F.size("pairs") - F.size(F.array_distinct("pairs")))
+    n, links, prices = F.col("n"), F.col("links"), F.col("prices")
+    again = F.col("again")
+    stopped = F.when(F.col("segment").rlike(_CALLS), again == 0).otherwise(F.col("segment").rlike(_ENDS))
+    prose = stopped & n.between(3, LONGEST_SENTENCE) & (F.col("seps") < 0.35 * n) & (again < REPEATED_PAIRS * F.size("words"))
     kind = (
-        F.when(F.col("line").rlike(_REFERENCE), "fact")
-        .when((F.col("links") >= 1) & ~(prose & (words > 12 * F.col("links"))), "link")
-        .when(F.col("line").rlike(_BARE_DOMAIN), "link")
-        .when((F.col("tags") >= 3) & (F.col("tags") >= 0.3 * words), "tag")
-        .when(F.col("line").rlike(r"(?i)^\W*(tags|keywords|hashtags|schlagw\p{L}+|mots-cl\p{L}+|etiquetas)\s*:") & ~prose, "tag")
-        .when(~prose & F.col("line").rlike(_PRODUCT) & (words <= 14), "product")
-        .when(~prose & ((F.col("dates") >= 1) | (F.col("codes") >= 0.25 * words)), "fact")
-        .when(prose & (F.col("seps") < 0.35 * words), "sentence")
-        .when((words >= 8) & ((F.col("seps") >= LIST_SEPARATORS * words) | (different < REPEATING)), "keyword")
-        .when((words >= 25) & ~prose, "keyword")
+        F.when(form.rlike(_REFERENCE), "fact")
+        .when((links >= 1) & ~(prose & (n > 12 * links)), "link")
+        .when(~prose & (F.col("dates") >= 1), "fact")
+        .when(~prose & (prices >= 1) & (F.col("codes") >= 1), "product")
+        .when(~prose & (F.col("codes") >= 0.25 * n), "fact")
+        .when(prose, "sentence")
+        .when((n >= 8) & ((F.col("seps") >= LIST_SEPARATORS * n) | (F.col("different") < REPEATING * F.size("words"))), "keyword")
+        .when(n >= RUN_ON, "keyword")
         .otherwise("heading")
     )
-    shape = F.substring("line", 1, 4000)
-    for pattern, mark in (
-        (r"(?i)(https?://|www\.)\S+", "\u0001"), (r"(?U)\p{Lu}[\w'’-]*", "\u0002"), (r"(?U)\d[\d.,:%]*", "\u0003"), (r"(?U)[\p{L}@_][\w'’@-]*", "\u0004"),
-        (r"\s+", ""), (r"([\u0001-\u0004])\1+", "$1"), (r"([\u0001-\u0004]\p{P}?)\1+", "$1+"),
-    ):
-        shape = F.regexp_replace(shape, pattern, mark)
-    shape = F.concat_ws(":", F.least(F.floor(F.log2(words)), F.lit(8)).cast("string"), F.translate(F.substring(shape, 1, 24), "\u0001\u0002\u0003\u0004", "LW9w"))
+    shape = _replace(F.replace(form, F.lit(" "), F.lit("")), ((f"{_CAPITAL}+", _CAPITAL), (f"{_NUMBER}+", _NUMBER)))
+    # Of sentences the words count one by one, of the others only how they alternate with separators.
+    loose = F.regexp_replace(F.regexp_replace(shape, f"[{_PLAIN}]+", _WORD), rf"([{_TOKENS}]+[^{_TOKENS}]){{2,}}", "+")
+    formed = settle(formed, kind=kind, shape=shape, loose=loose)
+    shape = F.xxhash64(F.least(F.floor(F.log2(n)), F.lit(8)), F.when(F.col("kind") == "sentence", F.col("shape")).otherwise(F.col("loose")))
     return (
-        counted.select("doc_id", shape.alias("shape"), kind.alias("kind"), F.length("line").alias("chars"))
+        formed.select("doc_id", shape.alias("shape"), "kind", F.length("segment").alias("chars"), (F.col("again") > 0).alias("repeats"))
         .groupBy("doc_id", "shape", "kind")
-        .agg(F.count(F.lit(1)).alias("lines"), F.sum("chars").alias("chars"))
+        .agg(F.count(F.lit(1)).alias("segments"), F.sum("chars").alias("chars"), F.count_if("repeats").alias("repeating"))
     )
 
 
 def page_shapes(documents: DataFrame) -> DataFrame:
-    """One row per document with text: its stuffed share, how few shapes hold its stuffed lines, and whether it is stuffed."""
-    stuffed = F.col("kind").isin("link", "tag", "product", "keyword")
-    per_doc = line_shapes(documents).groupBy("doc_id").agg(
+    """One row per document with text: its characters, those in its FEW_SHAPES largest stuffed shapes, and whether it is stuffed."""
+    shapes = line_shapes(documents)
+    letter = (F.col("kind") == "sentence") & (F.col("segments") >= FORM_LETTER)
+    listed = F.col("kind").isin("link", "product", "keyword")
+    per_doc = shapes.groupBy("doc_id").agg(
         F.sum("chars").alias("chars"),
-        F.sum(F.when(stuffed, F.col("chars")).otherwise(0)).alias("stuffed_chars"),
-        F.sum(F.when(stuffed, F.col("lines")).otherwise(0)).alias("stuffed_lines"),
-        F.expr(f"slice(sort_array(collect_list(if(kind in ('link', 'tag', 'product', 'keyword'), lines, null)), false), 1, {FEW_SHAPES})").alias("top"),
+        F.sum(F.when(letter, F.col("segments"))).alias("letters"),
+        F.sum(F.when(letter, F.col("repeating"))).alias("repeating"),
+        F.collect_list(F.struct(F.when(listed, F.col("chars")).otherwise(0).alias("listed"), F.when(listed | letter, F.col("chars")).otherwise(0).alias("lettered"))).alias("held"),
     )
-    few = F.aggregate("top", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return per_doc.select(
-        "doc_id", "chars", "stuffed_chars", "stuffed_lines",
-        ((F.col("stuffed_chars") > STUFFED_SHARE * F.col("chars")) & (few >= DOMINANT * F.col("stuffed_lines"))).alias("stuffed"),
-    )
+    phrased = F.coalesce(F.col("repeating") >= PHRASE_SHARE * F.col("letters"), F.lit(False))
+    top = F.slice(F.sort_array(F.when(phrased, F.col("held.lettered")).otherwise(F.col("held.listed")), False), 1, FEW_SHAPES)
+    stuffed = F.aggregate(top, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    held = settle(per_doc, stuffed_chars=stuffed)
+    return held.select("doc_id", "chars", "stuffed_chars", (F.col("stuffed_chars") > STUFFED_SHARE * F.col("chars")).alias("stuffed"))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """doc_id of the documents that are stuffed."""
-    return page_shapes(documents).where("stuffed").select("doc_id")
+    """doc_id of the documents that are stuffed; null, empty and blank texts never are."""
+    return page_shapes(documents).where("stuffed").select("doc_id").distinct()
