@@ -2,18 +2,22 @@
 
 Text is taken apart by a few anchored patterns, all in the JVM. An offset in
 the text holds. What is left is local time: its zone is the feed's declared
-one, and for feeds without one the offset history, out of a list of zones, that
-violates the feed's own evidence least: an item can't be published after it was
-fetched, and the feed's timestamps that do carry an offset must agree with the
-zone's offset at that local time (an offset of zero may be plain UTC, and tells
-nothing).
+one, and for feeds without one that of the offset history that violates the
+feed's own evidence least. A history is a zone of a list for every quarter;
+going over to another zone costs CHANGE_COST violations. Evidence is: an item
+can't be published after it was fetched; offsets written as numbers agree with
+the zone's (an offset of zero counts half, since any feed may write UTC, and
+the letter Z tells nothing); and a local time between two neighbours of its sequence whose instants are known
+and lie close together lies between them. Only undeclared feeds are estimated.
 """
 
 from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Month names of four languages by number.
@@ -45,6 +49,11 @@ CANDIDATE_ZONES = (
     "America/Los_Angeles", "America/Sao_Paulo", "America/St_Johns", "Asia/Kathmandu",
 )
 
+#: Violations (two points each) that a change of zone within a history must save, and ids of a sequence's block, in which neighbours are looked for.
+CHANGE_COST, BLOCK_IDS = 8, 1024
+#: Neighbours in a sequence are close if their instants are so many microseconds apart at most.
+CLOSE = 48 * 3_600_000_000
+
 _CLOCK = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d{1,9}))?)?"
 _ZONE = r"\s?((?:Z|[A-Za-z]{2,4}|[+\-−]\d{1,2}:?\d{0,2}))?(?:\[([A-Za-z_/+\-0-9]+)\])?"
 _HALF = r"(?:\s?([AaPp])\.?[Mm]\.?)?"
@@ -73,7 +82,7 @@ def _null_if_blank(c: Column) -> Column:
 
 
 def parse_written_time(df: DataFrame, text: str, day_first: str) -> DataFrame:
-    """Add local_time TIMESTAMP_NTZ, offset_minutes BIGINT, region STRING, epoch_micros BIGINT.
+    """Add local_time TIMESTAMP_NTZ, offset_minutes BIGINT, offset_is_number BOOLEAN, region STRING, epoch_micros BIGINT.
 
     epoch_micros is set for counts since 1970 (seconds, or with three, six or
     nine more digits), else local_time is set where the text names a calendar
@@ -82,7 +91,7 @@ def parse_written_time(df: DataFrame, text: str, day_first: str) -> DataFrame:
     """
     s = F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
     out = settle(df, _s=s)
-    form = F.when(F.length("_s") > 80, None)
+    form = F.when(F.col("_s").isNull(), None)
     for name, pattern in _FORMS.items():
         form = form.when(F.col("_s").rlike(pattern), F.lit(name))
     out = settle(out, _form=form)
@@ -134,6 +143,7 @@ def parse_written_time(df: DataFrame, text: str, day_first: str) -> DataFrame:
         epoch_micros=F.when(F.col("_form").isNull(), micros),
         local_time=F.when(~unknown_zone, local),
         offset_minutes=offset.cast("bigint"),
+        offset_is_number=signed,
         region=F.when(p["region"].isin(*CANDIDATE_ZONES), p["region"]),
     ).drop("_s", "_form", "_p", "_year", "_month", "_day", "_hour")
 
@@ -149,27 +159,68 @@ def zone_micros(zone: Column, local: Column) -> Column:
     return ntz_micros(F.convert_timezone(zone, F.lit("UTC"), local))
 
 
-def estimate_zones(parsed: DataFrame) -> DataFrame:
-    """(feed, local_time, offset_minutes, ingested_at) -> (feed, zone_name, violations, evidence).
+def quarter(c: Column) -> Column:
+    return (F.year(c) * 4 + F.quarter(c) - 1).cast("int")
+
 
-    Of the candidate histories, the one with the fewest violations; of equals,
-    the first in the list. One pass of counters per feed and candidate is all
-    that is shuffled. Feeds without any timed record have no row.
+def estimate_zones(parsed: DataFrame) -> DataFrame:
+    """Records of parse_written_time with feed, record_kind, record_id, ingested_at -> (feed, history, violations, evidence).
+
+    violations are in points, two for each but one for an offset of zero. history is a list of (from_quarter, zone_name), from_quarter counting
+    quarters since year 0; a time before the first one has the first one's zone.
+    Of histories with equally few violations, the first zone in the list holds.
+    Feeds whose records give no evidence at all have no row. What is shuffled
+    are counters by feed, quarter and zone; neighbours are looked for in blocks
+    of BLOCK_IDS ids, so no task gets a whole feed.
     """
-    zones = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(z).alias("zone_name")) for i, z in enumerate(CANDIDATE_ZONES)))
-    timed = parsed.where("feed is not null and local_time is not null").select(
-        "feed", "local_time", "offset_minutes", "ingested_at", F.explode(zones).alias("z")
-    )
-    timed = settle(timed, utc=zone_micros(F.col("z.zone_name"), F.col("local_time")))
-    utc = F.col("utc")
+    zones = F.array(*(F.struct(F.lit(i).cast("int").alias("ord"), F.lit(z).alias("zone_name")) for i, z in enumerate(CANDIDATE_ZONES)))
     own = ntz_micros(F.col("local_time")) - F.col("offset_minutes") * 60_000_000
-    late = F.col("offset_minutes").isNull() & (utc > ntz_micros(F.col("ingested_at")))
-    other = (F.col("offset_minutes") != 0) & (utc != own)
-    scored = timed.groupBy("feed", "z").agg(F.count_if(late | other).alias("violations"), F.count(F.lit(1)).alias("evidence"))
-    return scored.groupBy("feed").agg(F.min(F.struct("violations", "z", "evidence")).alias("best")).select(
-        "feed", F.col("best.z.zone_name").alias("zone_name"), F.col("best.violations").alias("violations"), F.col("best.evidence").alias("evidence")
+    timed = parsed.where("feed is not null and (local_time is not null or epoch_micros is not null)").select(
+        "feed", "record_kind", "record_id", "local_time", "offset_is_number", (F.coalesce("offset_minutes", F.lit(1)) == 0).alias("offset_zero"), ntz_micros(F.col("ingested_at")).alias("ingested"), F.coalesce("epoch_micros", own).alias("known")
+    )
+    block = Window.partitionBy("feed", "record_kind", F.floor(F.col("record_id") / BLOCK_IDS)).orderBy("record_id", "known", "local_time")
+    timed = timed.withColumns(
+        {
+            "earlier": F.last("known", True).over(block.rowsBetween(Window.unboundedPreceding, -1)),
+            "later": F.first("known", True).over(block.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    )
+    asked = timed.where("local_time is not null and (known is null or offset_is_number)").select("*", F.explode(zones).alias("z"))
+    asked = settle(asked, utc=zone_micros(F.col("z.zone_name"), F.col("local_time")))
+    utc, bare = F.col("utc"), F.col("known").isNull()
+    close = (F.col("later") - F.col("earlier")).between(0, CLOSE)
+    wrong = F.when(bare, (utc > F.col("ingested")) | (close & ~utc.between(F.col("earlier"), F.col("later")))).otherwise(utc != F.col("known"))
+    wrong = F.coalesce(wrong, F.coalesce(bare & (utc > F.col("ingested")), F.lit(False)))
+    counts = asked.groupBy("feed", quarter(F.col("local_time")).alias("quarter"), F.col("z.ord").alias("ord")).agg(
+        F.sum(F.when(wrong, F.when(F.col("offset_zero"), 1).otherwise(2)).otherwise(0)).alias("violations"), F.count(F.lit(1)).alias("evidence")
     )
 
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One feed's history, by dynamic programming over its quarters: at most as many rows as quarters of 10,000 years times zones."""
+        table = pdf.pivot(index="quarter", columns="ord", values="violations").sort_index()
+        cost = table.to_numpy()
+        best, came = cost[0].astype(float), np.zeros(cost.shape, int)
+        for t in range(1, len(cost)):
+            cheapest = int(best.argmin())
+            change = best[cheapest] + CHANGE_COST < best
+            came[t] = np.where(change, cheapest, np.arange(cost.shape[1]))
+            best = np.where(change, best[cheapest] + CHANGE_COST, best) + cost[t]
+        path = [int(best.argmin())]
+        for t in range(len(cost) - 1, 0, -1):
+            path.append(int(came[t][path[-1]]))
+        path.reverse()
+        history = [{"from_quarter": int(q), "zone_name": CANDIDATE_ZONES[z]} for i, (q, z) in enumerate(zip(table.index, path, strict=True)) if i == 0 or z != path[i - 1]]
+        wrong = int(cost[np.arange(len(path)), path].sum())
+        return pd.DataFrame({"feed": [pdf["feed"].iloc[0]], "history": [history], "violations": [wrong], "evidence": [int(pdf["evidence"].sum()) // cost.shape[1]]})
+
+    return counts.groupBy("feed").applyInPandas(choose, "feed string, history array<struct<from_quarter: int, zone_name: string>>, violations bigint, evidence bigint")
+
+
+def zone_at(history: Column, local: Column) -> Column:
+    """The zone that a history of estimate_zones has at a local time; null without a history."""
+    begun = F.filter(history, lambda h: h["from_quarter"] <= quarter(local))
+    return F.coalesce(F.try_element_at(begun, F.lit(-1)), F.try_element_at(history, F.lit(1)))["zone_name"]
+
 
 def to_instants(records: DataFrame, feeds: DataFrame) -> DataFrame:
     """(record_kind, record_id, written, feed, ingested_at) -> (record_kind, record_id, utc_micros).
@@ -179,12 +230,13 @@ def to_instants(records: DataFrame, feeds: DataFrame) -> DataFrame:
     UTC where there is no evidence. Text that names no valid time gives no row.
     """
     known = F.broadcast(feeds.select("feed", F.col("zone_name").alias("declared"), "day_first").dropDuplicates(["feed"]))
-    parsed = parse_written_time(
-        records.select("record_kind", "record_id", "written", "feed", "ingested_at").join(known, "feed", "left"), "written", "day_first"
-    )
-    estimated = F.broadcast(estimate_zones(parsed).select("feed", F.col("zone_name").alias("estimated")))
-    zoned = parsed.join(estimated, "feed", "left")
-    zone = F.coalesce("region", "declared", "estimated", F.lit("UTC"))
+    read = records.select("record_kind", "record_id", "written", "feed", "ingested_at").join(known, "feed", "left")
+    declared, left = (parse_written_time(read.where(f"declared is {x} null"), "written", "day_first") for x in ("not", ""))
+    # Only records of undeclared feeds are shuffled to their history.
+    told = left.join(estimate_zones(left).select("feed", "history"), "feed", "left").withColumn("declared", zone_at(F.col("history"), F.col("local_time")))
+    columns = ["record_kind", "record_id", "epoch_micros", "local_time", "offset_minutes", "region", "declared"]
+    zoned = declared.select(*columns).unionByName(told.select(*columns))
+    zone = F.coalesce("region", "declared", F.lit("UTC"))
     micros = F.coalesce(
         "epoch_micros", ntz_micros(F.col("local_time")) - F.col("offset_minutes") * 60_000_000, zone_micros(zone, F.col("local_time"))
     )

@@ -25,7 +25,8 @@ def p6_zones(spark: SparkSession, d: str) -> DataFrame:
     feeds = table(spark, d, "feed").select("feed", F.col("zone_name").alias("declared"), "day_first")
     records = written_records(table(spark, d, "media_item"), table(spark, d, "fetch_record")).join(F.broadcast(feeds), "feed", "left")
     zones = estimate_zones(parse_written_time(records, "written", "day_first"))
-    return zones.join(F.broadcast(feeds), "feed", "left").select("feed", "zone_name", "declared", "violations", "evidence")
+    named = F.element_at("history", -1)["zone_name"].alias("zone_name")
+    return zones.join(F.broadcast(feeds), "feed", "left").select("feed", named, F.size("history").cast("bigint").alias("n_zones"), "declared", "violations", "evidence")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,8 @@ from zoneinfo import ZoneInfo
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from caseloom.operators import nested, timestamps
 from caseloom.operators.intervals import periods_and_gaps
 from caseloom.plans import data_queries
@@ -187,3 +189,40 @@ def test_nested_rows_of_tricky_bodies():
 def test_nested_rows_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "{}", "y"), (2, TRICKY[0], "z"), (2, TRICKY[0], "z")], "fetch_id bigint, body string, name string")
     assert rows(nested.flatten_bodies(df)) == sorted(plain_nested(2, TRICKY[0]))
+
+
+def test_zones_of_undeclared_feeds(spark):
+    media, fetches, feeds = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("media_item", "fetch_record", "feed"))
+    records = timestamps.written_records(media, fetches)
+    blank = feeds.withColumn("zone_name", F.lit(None).cast("string"))
+    assert rows(timestamps.to_instants(records, blank)) == rows(timestamps.to_instants(records, feeds))
+    zones = data_queries.p6_zones(spark, SF).collect()
+    assert len(zones) == 8 and all(r.zone_name == r.declared and r.n_zones == 1 for r in zones)
+
+
+def test_a_feed_that_changes_its_zone_and_one_known_by_its_sequence_alone(spark):
+    made, want = [], {}
+    for i in range(400):
+        day = dt.datetime(2020, 1, 1, 9) + dt.timedelta(days=4 * i)
+        zone = ZoneInfo("Europe/Berlin" if day < dt.datetime(2022, 1, 1) else "America/New_York")
+        local = day.replace(tzinfo=zone)
+        made.append(("moving", i, local.isoformat() if i % 2 else day.isoformat()))
+        want["moving", i] = int(local.timestamp() * 1_000_000)
+    for i in range(300):
+        at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=20 * i)
+        text = at.strftime("%Y-%m-%dT%H:%M:%SZ") if i % 2 else at.astimezone(ZoneInfo("Asia/Tokyo")).strftime("%Y-%m-%d %H:%M")
+        made.append(("ordered", 1_000 + i, text))
+        want["ordered", 1_000 + i] = int(at.timestamp() * 1_000_000)
+    df = spark.createDataFrame(made, "feed string, record_id bigint, written string").withColumns({"record_kind": F.lit("x"), "ingested_at": F.lit(None).cast("timestamp_ntz")})
+    feeds = spark.createDataFrame([], "feed string, zone_name string, day_first boolean")
+    got = {r.record_id: r.utc_micros for r in timestamps.to_instants(df, feeds).collect()}
+    wrong = [k for k, v in want.items() if got[k[1]] != v]
+    assert len([k for k in wrong if k[0] == "ordered"]) == 0 and len(wrong) <= 2, wrong
+
+
+def test_times_of_any_length(spark):
+    far = "Wednesday, " + " " * 200 + "5 March 2025 at 10:00" + " " * 100 + "UTC"
+    df = spark.createDataFrame([("x", 1, far, "f"), ("x", 2, "5 March 2025 " * 5000, "f"), ("x", 3, None, None)], "record_kind string, record_id bigint, written string, feed string")
+    df = df.withColumn("ingested_at", F.lit(None).cast("timestamp_ntz"))
+    feeds = spark.createDataFrame([], "feed string, zone_name string, day_first boolean")
+    assert rows(timestamps.to_instants(df, feeds)) == [("x", 1, 1741168800000000)]
