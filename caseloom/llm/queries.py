@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.matching import matches
-from caseloom.llm.mixing import mix, shares
+from caseloom.llm.mixing import marginals, mix, shares
 from caseloom.llm.pagebody import body_lines
 from caseloom.llm.places import same_place
 from caseloom.llm.stuffed import stuffed_pages
@@ -46,6 +46,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(documents, targets), documents, targets)
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the mix by source, language and topic, as raked and as taken."""
+    return marginals(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
 def p3_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matched rows with the marginal probability of the match, to four places."""
     found = matches(table(spark, d, "officers"), table(spark, d, "sanctions_result"))
@@ -56,6 +61,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p3_matches": p3_matches, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_marginals": p9_marginals, "p3_matches": p3_matches, "p10_found": p10_found}
 #: None of these can be put into SQL over whole tables; tests hold them against libraries, brute force or held-out rows.
 ORACLES: dict[str, str] = {}
