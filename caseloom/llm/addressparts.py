@@ -14,7 +14,12 @@ STREET_TYPES = frozenset(
 UNIT_WORDS = frozenset("unit flat suite apartment room floor studio office block".split())
 BUILDINGS = frozenset("house mill chambers works building buildings tower hall lodge centre center wharf studios mansions".split())
 _CARE_OF = re.compile(r"\b(?:c/o|c\.o\.|care of|attn:?|f\.?a\.?o\.?)\s+(?:(?![,\n]|\d).)*(?:,|(?=\d)|$)", re.I)
-_POSTCODE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2})\s?([0-9OoIiLl]{1,2})\s?([0-9OoIiLl])\s?([A-Za-z]{2})(?![A-Za-z0-9])")
+#: Area, district (with its letter, if any), and what stands behind the blank; then two letters of area with digits that may be mistyped as letters.
+_POSTCODE = re.compile(
+    r"(?<![A-Za-z0-9])(?:([A-Za-z]{1,2})([0-9]{1,2})([A-Za-z]?)\s?([0-9])\s?([A-Za-z]{2})|([A-Za-z]{2})\s?([0-9OoIiLl]{1,2})\s?([0-9OoIiLl])\s?([A-Za-z]{2}))(?![A-Za-z0-9])"
+)
+#: What may be a unit and an ordinal ("B3 2nd Floor") is a postcode only where the field or a part of it ends.
+_ORDINAL = re.compile(r"(1st|2nd|3rd|[04-9]th)$", re.I)
 _NUMBER = re.compile(r"\d{1,4}[a-z]?")
 _GLUED_UNIT = re.compile(r"u\d{1,4}[a-z]?")
 _DIGITS = str.maketrans("OoIiLl", "001111")
@@ -36,11 +41,16 @@ class Parts(NamedTuple):
 
 def postcode_of(text: str | None, whole: bool = False) -> tuple[str, int]:
     """(postcode without blanks, where it begins); digits mistyped as letters are put right. ('', -1) without one."""
-    found = [m for m in _POSTCODE.finditer(text or "") if any(c.isdigit() for c in m[0]) or whole]
+    text = text or ""
+    found = [m for m in _POSTCODE.finditer(text) if any(c.isdigit() for c in m[0]) or whole]
+    if not whole:
+        found = [m for m in found if not _ORDINAL.search(m[0]) or not text[m.end() :].strip(" .") or text[m.end() :].lstrip().startswith((",", ";", "\n"))]
     if not found:
         return "", -1
     m = found[-1]
-    return (m[1] + m[2].translate(_DIGITS) + m[3].translate(_DIGITS) + m[4]).upper(), m.start()
+    if m[1]:
+        return "".join(m.group(1, 2, 3, 4, 5)).upper(), m.start()
+    return (m[6] + m[7].translate(_DIGITS) + m[8].translate(_DIGITS) + m[9]).upper(), m.start()
 
 
 def parts_of(line_1: str | None, line_2: str | None, locality: str | None, postal_code: str | None, rewrites: dict[str, str] | None = None) -> Parts | None:

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from caseloom.session import cut
 
-#: Letters, digits and the padding that also stands for blanks: q-grams have 37 ** q codes, whatever the corpus.
+#: Letters, digits and the padding that also stands for blanks: q-grams have 37 ** q codes, whatever the corpus. Characters of other scripts share the codes of letters and digits by hash.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789#"
 _CODES = np.full(256, 36, np.int64)
 for _i, _c in enumerate(_ALPHABET):
     _CODES[ord(_c)] = _i
 #: Share of all q-grams that counts as common.
 COMMON_SHARE = 0.6
-#: Satellites on the way to a center, at most.
+#: Joins along satellites after which it is looked whether any still leads to another.
 HOPS = 3
 
 
@@ -32,7 +32,8 @@ def gram_codes(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
     """(gram codes of all texts, where each text's codes begin); texts are folded ones, words are padded on both sides."""
     pad = "#" * (q - 1)
     padded = [pad + t.replace(" ", pad) + pad for t in texts]
-    codes = _CODES[np.frombuffer("".join(padded).encode("ascii", "replace"), np.uint8)]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(points < 128, _CODES[np.minimum(points, 127)], points.astype(np.int64) * 2_654_435_761 % 36)
     sizes = np.array([len(p) for p in padded], np.int64)
     if len(codes) < q:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
@@ -113,9 +114,9 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A node that outranks (weight, then id) all its neighbours is a center; any
     other goes to the neighbour of highest rank, and if that is a satellite
-    itself, along to its star, over at most HOPS satellites; where no center is
-    reached, the last node stands for one. Nodes without edges are their own
-    centers. No rounds: one aggregate over the edges and HOPS joins.
+    itself, along to its star, however far: every node goes to one of higher
+    rank, so the way ends. Nodes without edges are their own centers. One
+    aggregate over the edges, then joins until none leads on.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
     rank = nodes.select(F.col("id").alias("other"), F.struct("weight", F.col("id").alias("node")).alias("rank"))
@@ -124,6 +125,9 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     hubs = cut(hubs)
     follow = hubs.where("id <> center").select(F.col("id").alias("center"), F.col("center").alias("next"))
     out = hubs
-    for _ in range(HOPS):
-        out = out.join(follow, "center", "left").select("id", F.coalesce("next", "center").alias("center"))
-    return out
+    while True:
+        for _ in range(HOPS):
+            out = out.join(follow, "center", "left").select("id", F.coalesce("next", "center").alias("center"))
+        out = cut(out)
+        if out.join(follow, "center", "left_semi").isEmpty():
+            return out

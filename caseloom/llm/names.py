@@ -42,10 +42,10 @@ _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th"
 
 @lru_cache(20_000)
 def fold(text: str) -> str:
-    """Lower case, without accents; what is no letter or digit becomes one blank, apostrophes and dots inside words vanish."""
+    """Lower case, without accents; what is no letter or digit of any script becomes one blank, apostrophes vanish."""
     t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower().translate(_LETTERS)
     t = re.sub(r"[’'`]", "", t)
-    return re.sub(r"[^a-z0-9]+", " ", t).strip()
+    return re.sub(r"[\W_]+", " ", t).strip()
 
 
 @lru_cache(50_000)

@@ -13,7 +13,7 @@ then filled from the addresses of its postcode, or of its street and town.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +22,9 @@ from caseloom.llm.names import is_short_for, osa
 from caseloom.llm.spread import spread
 from caseloom.session import cut
 
-#: Rounds at most (mining ends when a round finds nothing new).
-ROUNDS = 8
 #: Least evidence, in nats, for a rewrite; least share of a value's meetings that are with its normal form.
 EVIDENCE, SHARE = 6.0, 0.5
-#: Rewrites of words for kinds of street and of units are held in memory, at most so many, the best supported; others are left to the slots.
+#: Rewrites of words for kinds of street and of units that one round takes up, the best supported; the others have their turn in the next rounds.
 WORD_REWRITES = 5_000
 _FULL_WORDS = sorted(STREET_TYPES | UNIT_WORDS)
 _PARTS = ("number", "unit", "postcode", "street", "kind", "town", "pair", "before_1", "before_2")
@@ -104,11 +102,11 @@ def mine(parts: DataFrame) -> DataFrame:
     seen = seen.join(overall, ["slot", "value"])
     full = F.col("value").isin(*_FULL_WORDS)
     worded = F.col("slot").isin("kind", "unit_word")
-    hub = F.max(F.struct("total", F.col("value").alias("v"))).over(Window.partitionBy("slot", "anchor"))
-    spelled = seen.where(~worded).withColumn("hub", hub).where("value <> hub.v").select("slot", "value", "anchors", "total", F.col("hub.v").alias("normal"), F.col("hub.total").alias("b"))
+    hubs = seen.where(~worded).groupBy("slot", "anchor").agg(F.max(F.struct("total", F.col("value").alias("v"))).alias("hub"))
+    spelled = seen.where(~worded).join(hubs, ["slot", "anchor"]).where("value <> hub.v").select("slot", "value", "anchors", "total", F.col("hub.v").alias("normal"), F.col("hub.total").alias("b"))
     # The full words of an anchor are a few of a fixed list, so all of them meet its other words.
-    fulls = F.collect_set(F.when(full, F.struct(F.col("value").alias("v"), F.col("total").alias("t")))).over(Window.partitionBy("slot", "anchor"))
-    words = seen.where(worded).withColumn("fulls", fulls).where(~full & ~F.col("value").isin(*sorted(BUILDINGS)))
+    fulls = seen.where(worded & full).groupBy("slot", "anchor").agg(F.collect_set(F.struct(F.col("value").alias("v"), F.col("total").alias("t"))).alias("fulls"))
+    words = seen.where(worded & ~full & ~F.col("value").isin(*sorted(BUILDINGS))).join(fulls, ["slot", "anchor"])
     words = words.select("slot", "value", "anchors", "total", F.explode("fulls").alias("f")).select("slot", "value", "anchors", "total", F.col("f.v").alias("normal"), F.col("f.t").alias("b"))
     met = spelled.unionByName(words)
     pairs = met.groupBy("slot", "value", "normal").agg(
@@ -142,11 +140,15 @@ def normalise(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     words: dict[str, str] = {}
     mined: DataFrame | None = None
     parts = cut(take_apart(lines, words))
-    for _ in range(ROUNDS):
+    spark = lines.sparkSession
+    while True:
         new = cut(mine(parts))
-        worded = new.where("slot in ('kind', 'unit_word')").orderBy(F.desc("meetings"), "value").limit(WORD_REWRITES).collect()
-        fresh = {r.value: r.normal for r in worded if r.value not in words}
+        taken = spark.createDataFrame([(k,) for k in words], "value string")
+        worded = new.where("slot in ('kind', 'unit_word')").join(taken, "value", "left_anti").orderBy(F.desc("meetings"), "value").limit(WORD_REWRITES).collect()
+        fresh = {r.value: r.normal for r in worded}
         others = new.where("slot not in ('kind', 'unit_word')")
+        # A rewrite counts as new only once, so the rounds end.
+        others = cut(others if mined is None else others.join(mined, ["slot", "value", "normal"], "left_anti"))
         some = not others.isEmpty()
         if not fresh and not some:
             break
@@ -157,7 +159,6 @@ def normalise(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
             parts = cut(apply_chain(parts, mined))
         else:
             parts = cut(apply_rewrites(parts, others))
-    spark = lines.sparkSession
     table = spark.createDataFrame([("word", k, v) for k, v in sorted(words.items())], "slot string, value string, normal string")
     return parts, table if mined is None else table.unionByName(mined.select("slot", "value", "normal"))
 
@@ -195,7 +196,7 @@ def fill(parts: DataFrame) -> DataFrame:
     bare = typed.where("postcode = ''")
     by = ["street", "town"]
     bare = bare.join(only(by, "kind", "k", snapped), by, "left").withColumn("kind", F.when(F.col("kind") == "", F.coalesce("k", F.lit(""))).otherwise(F.col("kind"))).drop("k")
-    # A misspelt town of a street that stands in one town only, and a misspelt street by number in its town, are what the coded ones have.
+    # A misspelt town of a street that stands in one town only is what the coded ones have.
     by = ["street", "kind"]
     bare = bare.join(only(by, "town", "t", snapped), by, "left").withColumn(
         "town", F.when((F.col("town") == "") | (F.levenshtein("town", "t") <= 2), F.coalesce("t", "town")).otherwise(F.col("town"))

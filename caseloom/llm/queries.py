@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from caseloom.llm.matching import matches
 from caseloom.llm.mixing import marginals, mix, shares
 from caseloom.llm.pagebody import body_lines
-from caseloom.llm.places import same_place
+from caseloom.llm.places import places, same_place
 from caseloom.llm.stuffed import stuffed_pages
 from caseloom.llm.tokens import token_ids
-from caseloom.llm.variants import name_variants
+from caseloom.llm.variants import name_members, name_variants
 from caseloom.sources.tables import table
 
 
@@ -31,6 +31,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants(table(spark, d, "officers"), table(spark, d, "appointments"))
 
 
+def p2_places(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every company with an address: as many rows as companies."""
+    return places(table(spark, d, "company_profile"))
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of every entry's name and of every appointment's company name."""
+    return name_members(table(spark, d, "officers"), table(spark, d, "appointments"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -61,6 +71,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_marginals": p9_marginals, "p3_matches": p3_matches, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p2_places": p2_places, "p5_found": p5_found, "p5_members": p5_members, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_marginals": p9_marginals, "p3_matches": p3_matches, "p10_found": p10_found}
 #: None of these can be put into SQL over whole tables; tests hold them against libraries, brute force or held-out rows.
 ORACLES: dict[str, str] = {}

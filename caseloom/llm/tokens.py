@@ -33,7 +33,6 @@ BLOCK_CHARS = 2_000_000
 #: Words a worker remembers; beyond it, it starts anew.
 KNOWN_WORDS = 300_000
 _NO_RANK = np.int32(2**31 - 1)
-_SIZE = 1 << 17
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -47,8 +46,10 @@ class PairTable:
     """Rank of a pair of ids, by open addressing with linear probing."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray):
-        self.keys = np.full(_SIZE, -1, np.int64)
-        self.ranks = np.full(_SIZE, _NO_RANK, np.int32)
+        bits = max(int(2 * len(left)).bit_length(), 4)  # at most half full
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.ranks = np.full(1 << bits, _NO_RANK, np.int32)
         keys = left.astype(np.int64) << 32 | right
         todo, at = np.arange(len(keys)), self._slot(keys)
         while len(todo):
@@ -57,12 +58,11 @@ class PairTable:
             put = todo[free][first]
             self.keys[slots], self.ranks[slots] = keys[put], put
             rest = self.keys[at] != keys[todo]
-            todo, at = todo[rest], (at[rest] + 1) % _SIZE
+            todo, at = todo[rest], (at[rest] + 1) & self.last
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(47)).astype(np.int64)
+        return (mixed >> self.shift).astype(np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; a negative id has no rank."""
@@ -75,7 +75,7 @@ class PairTable:
             hit = found == keys[todo]
             out[todo[hit]] = self.ranks[at[hit]]
             go = ~hit & (found != -1)
-            todo, at = todo[go], (at[go] + 1) % _SIZE
+            todo, at = todo[go], (at[go] + 1) & self.last
         return out.reshape(left.shape)
 
 

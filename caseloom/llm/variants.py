@@ -25,44 +25,58 @@ from caseloom.session import cut
 #: Likeness of q-gram sets at which the bands must find a pair, with what recall, and rows per band.
 COMPANY_SIMILARITY, RECALL = 0.45, 0.96
 COMPANY_ROWS = 3
-#: Words taken as given names: at least so often after a comma, and at most so many (the most frequent); others are decided by form.
-GIVEN_MIN, GIVEN_MOST = 5, 20_000
+#: Words taken as given names stand at least so often after a comma; others are decided by form.
+GIVEN_MIN = 5
 #: Least Monge-Elkan likeness of persons with one birth date, and of those where one has none.
 DATED_LIKENESS, UNDATED_LIKENESS = 0.7, 0.85
 COMPANY_LIKENESS = 0.6
 
 
-def given_words(rows: DataFrame) -> frozenset[str]:
-    """Words that stand as given names in names with a comma, far more often than as surnames."""
+def given_words(rows: DataFrame) -> DataFrame:
+    """(word): those that stand as given names in names with a comma, far more often than as surnames."""
 
     @F.pandas_udf("array<string>")
     def parts(names: pd.Series) -> pd.Series:
         return names.map(lambda n: ["s" + N.person_parts(n)[0], *("g" + w for w in N.person_parts(n)[1] if len(w) > 1)])
 
     words = rows.where(F.col("name").contains(",")).select(F.explode(parts("name")).alias("w"))
-    counts = words.groupBy(F.substring("w", 2, 100).alias("word")).agg(
+    counts = words.groupBy(F.expr("substring(w, 2)").alias("word")).agg(
         F.count_if(F.col("w").startswith("g")).alias("given"), F.count_if(F.col("w").startswith("s")).alias("surname")
     )
-    kept = counts.where((F.col("given") >= GIVEN_MIN) & (F.col("given") > 3 * F.col("surname"))).orderBy(F.desc("given"), "word").limit(GIVEN_MOST)
-    return frozenset(r.word for r in kept.select("word").collect())
+    return counts.where((F.col("given") >= GIVEN_MIN) & (F.col("given") > 3 * F.col("surname"))).select("word")
 
 
-def person_profiles(rows: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
+def person_profiles(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, name, year, month) -> the same with surname, givens (joined by blanks) and profile, the id of their combination.
 
-    Rows whose name has no letters or digits are left out. A month without a
-    year, or out of 1..12, counts as missing.
+    known: the given words that tell where the surname of a name without comma
+    stands. Rows whose name has no letters or digits are left out. A month
+    without a year, or out of 1..12, counts as missing.
     """
-    known = given_words(rows) if known is None else known
+    known = cut(given_words(rows)) if known is None else known
 
     @F.pandas_udf("surname string, givens string")
-    def parse(names: pd.Series) -> pd.DataFrame:
-        parts = [N.person_parts(n, known) for n in names]
+    def parse(names: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+        parts = [N.person_parts(n, frozenset(w for w in (a, b) if w)) for n, a, b in zip(names, first, last, strict=True)]
         return pd.DataFrame({"surname": [p[0] for p in parts], "givens": [" ".join(p[1]) for p in parts]})
 
+    @F.pandas_udf("first string, last string")
+    def ends(names: pd.Series) -> pd.DataFrame:
+        words = [[w for w in N.fold(n).split() if w not in N.TITLES] or [""] for n in names]
+        return pd.DataFrame({"first": [w[0] for w in words], "last": [w[-1] for w in words]})
+
+    # A name without comma is looked up by its outer words, once for all rows that have it.
+    bare = spread(rows.select("name").where(~F.col("name").contains(",")).distinct(), "name").withColumn("e", ends("name")).select("name", "e.*")
+    for end in ("first", "last"):
+        bare = bare.join(known.select(F.col("word").alias(end), F.col("word").alias(f"known_{end}")), end, "left")
+    bare = bare.select("name", parse("name", "known_first", "known_last").alias("p"))
+    none = F.lit(None).cast("string")
+    with_comma = rows.where(F.col("name").contains(",")).withColumn("p", parse("name", none, none))
+    rows = with_comma.unionByName(rows.where(~F.col("name").contains(",")).join(bare, "name"))
+
     year = F.col("year").cast("int")
     month = F.when(year.isNotNull() & F.col("month").between(1, 12), F.col("month").cast("int"))
-    parsed = rows.select("id", "name", year.alias("year"), month.alias("month"), parse("name").alias("p"))
+    parsed = rows.select("id", "name", year.alias("year"), month.alias("month"), "p")
     return parsed.select("id", "name", "year", "month", "p.surname", "p.givens").where("surname <> ''").withColumn(
         "profile", F.xxhash64("surname", "givens", F.coalesce("year", F.lit(0)), F.coalesce("month", F.lit(0)))
     )
@@ -161,12 +175,15 @@ def person_clusters(parsed: DataFrame, links: DataFrame) -> DataFrame:
             F.first("surname").alias("surname"), F.first("givens").alias("givens"), F.first("year").alias("year"), F.first("month").alias("month"), F.count(F.lit(1)).alias("n")
         )
     )
+    # Entries meet by month; those without one under every month, and among themselves under 0.
+    months = lambda m: F.when(F.col(m).isNotNull(), F.array(m)).otherwise(F.sequence(F.lit(0), F.lit(12)))
     spelled = profiles.join(links.select("surname", "linked"), "surname")
     other = profiles.select(F.col("profile").alias("b"), F.col("surname").alias("linked"), F.col("givens").alias("gb"), F.col("year").alias("year"), F.col("month").alias("mb"), "n")
     met = (
         spelled.where("year is not null").select(F.col("profile").alias("a"), "surname", "linked", "givens", "year", "month")
-        .join(other, ["linked", "year"])
-        .where("a < b and (month is null or mb is null or month = mb)")
+        .withColumn("met", F.explode(months("month")))
+        .join(other.where("year is not null").withColumn("met", F.explode(months("mb"))), ["linked", "year", "met"])
+        .where("a < b and (met = 0 or month is not null or mb is not null)")
         .select("a", "b", person_like("surname", "givens", "linked", "gb").alias("likeness"))
         .where(F.col("likeness") >= DATED_LIKENESS)
     )
@@ -322,10 +339,22 @@ def company_rows(appointments: DataFrame) -> DataFrame:
     ).where("id is not null").distinct()
 
 
-def name_variants(officers: DataFrame, appointments: DataFrame) -> DataFrame:
-    """entity_kind, id_a, id_b of all linked rows with different spellings."""
+def name_clusters(officers: DataFrame, appointments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, name, cluster) of officers' entries, and of appointments' companies."""
     parsed = cut(person_profiles(officer_rows(officers)))
     links = cut(surname_links(parsed.groupBy("surname").agg(F.count(F.lit(1)).alias("n"))))
-    people = variant_pairs(person_clusters(parsed, links))
-    firms = variant_pairs(company_clusters(company_rows(appointments)))
+    return person_clusters(parsed, links).select("id", "name", "cluster"), company_clusters(company_rows(appointments)).select("id", "name", "cluster")
+
+
+def name_members(officers: DataFrame, appointments: DataFrame) -> DataFrame:
+    """entity_kind, id, cluster, n_spellings: which rows are one person's or company's; a row per row, linear however large a cluster is."""
+    people, firms = name_clusters(officers, appointments)
+    every = people.withColumn("entity_kind", F.lit("officer")).unionByName(firms.withColumn("entity_kind", F.lit("company")))
+    spelled = every.groupBy("entity_kind", "cluster").agg(F.count_distinct("name").alias("n_spellings"))
+    return every.select("entity_kind", "id", "cluster").distinct().join(spelled, ["entity_kind", "cluster"]).select("entity_kind", "id", "cluster", "n_spellings")
+
+
+def name_variants(officers: DataFrame, appointments: DataFrame) -> DataFrame:
+    """entity_kind, id_a, id_b of all linked rows with different spellings."""
+    people, firms = (variant_pairs(x) for x in name_clusters(officers, appointments))
     return people.select(F.lit("officer").alias("entity_kind"), "id_a", "id_b").unionByName(firms.select(F.lit("company").alias("entity_kind"), "id_a", "id_b"))
