@@ -2,11 +2,13 @@
 
 Texts are split into words by the tokenizer's pattern; every word new to a
 worker is encoded once. New words are padded into matrices by length bucket.
-In each round every row merges its leftmost pair of least rank: pair ranks come
-from an open-addressing hash table, the merged cell is written, the cell to its
-right is cut out of the row (all rows lose exactly one cell, so compaction is
-one masked reshape), and only the two pairs beside the merge are looked up
-again. Rows without a mergeable pair leave the matrix.
+In each round every row merges its leftmost pair of least rank, and with it the
+further places of that pair that don't overlap: what a merge makes ranks behind
+it, so one at a time would give the same. Pair ranks come from an
+open-addressing hash table, the merged cells are written, the cells to their
+right are cut out of the rows (where all rows lose one cell, by a masked
+reshape), and only the pairs beside the merges are looked up again. Rows without
+a mergeable pair leave the matrix.
 """
 
 from __future__ import annotations
@@ -143,30 +145,46 @@ class Encoder:
     def _merge(self, rows: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         ranks = self.pairs.rank(cells[:, :-1], cells[:, 1:])
         while True:
-            if cells.shape[1] > 1:
-                at = ranks.argmin(1)
-                least = ranks[np.arange(len(rows)), at]
-                done = least == _NO_RANK
-            else:
-                done = np.ones(len(rows), bool)
+            least = ranks.min(1) if cells.shape[1] > 1 else np.full(len(rows), _NO_RANK)
+            done = least == _NO_RANK
             if done.any():
                 for r, line in zip(rows[done].tolist(), cells[done], strict=True):
                     yield r, line[line >= 0]
                 if done.all():
                     return
-                rows, cells, ranks, at, least = rows[~done], cells[~done], ranks[~done], at[~done], least[~done]
+                rows, cells, ranks, least = rows[~done], cells[~done], ranks[~done], least[~done]
             n, width = cells.shape
-            line = np.arange(n)
-            cells[line, at] = self.merged[least]
+            hit = ranks == least[:, None]
+            line, at = np.nonzero(hit)
+            if len(at) > n:  # of hits side by side, which overlap, every other one
+                begins = hit & ~np.concatenate((np.zeros((n, 1), bool), hit[:, :-1]), 1)
+                since = np.arange(width - 1) - np.maximum.accumulate(np.where(begins, np.arange(width - 1), 0), 1)
+                line, at = np.nonzero(hit & (since % 2 == 0))
+            cells[line, at] = self.merged[least[line]]
             keep = np.ones((n, width), bool)
             keep[line, at + 1] = False
-            cells = cells[keep].reshape(n, width - 1)
-            keep = np.ones((n, width - 1), bool)
-            keep[line, at] = False
-            ranks = ranks[keep].reshape(n, width - 2)
+            pair_keep = np.ones((n, width - 1), bool)
+            pair_keep[line, at] = False
+            if len(at) == n:  # one merge a row: all lose one cell
+                cells, ranks = cells[keep].reshape(n, width - 1), ranks[pair_keep].reshape(n, width - 2)
+            else:
+                lost = np.bincount(line, minlength=n)
+                at = at - (np.arange(len(at)) - (np.cumsum(lost) - lost)[line])
+                cells, ranks = _left(cells, keep, width - lost.min(), -1), _left(ranks, pair_keep, width - lost.min() - 1, _NO_RANK)
+            width = cells.shape[1]
             for pair in (at - 1, at):
-                ok = np.flatnonzero((pair >= 0) & (pair < width - 2))
-                ranks[ok, pair[ok]] = self.pairs.rank(cells[ok, pair[ok]], cells[ok, pair[ok] + 1])
+                ok = np.flatnonzero((pair >= 0) & (pair < width - 1))
+                ranks[line[ok], pair[ok]] = self.pairs.rank(cells[line[ok], pair[ok]], cells[line[ok], pair[ok] + 1])
+
+
+def _left(table: np.ndarray, keep: np.ndarray, width: int, blank: int) -> np.ndarray:
+    """What is kept of each row, moved to the left."""
+    out = np.full((len(table), width), blank, table.dtype)
+    to = np.cumsum(keep, 1) - 1
+    inside = keep & (to < width)
+    row, _ = np.nonzero(inside)
+    out[row, to[inside]] = table[inside]
+    return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from caseloom.llm import banding, mixing, names, pagebody, places, stuffed, tokens, variants
-from caseloom.llm.addressparts import parts_of
+from caseloom.llm.addressparts import parts_of, postcode_of
 from caseloom.llm.matching import propagate
 from caseloom.session import ship_package
 
@@ -418,3 +418,54 @@ def test_mix_of_the_documents(spark):
     assert (share - t["target_weight"]).abs().max() < 0.02
     empty = mixing.mix(documents.limit(0), targets)
     assert empty.count() == 0 and empty.columns == ["doc_id", "source", "n_tokens", "copies"]
+
+
+def test_runs_and_long_words_in_reasonable_time(library):
+    rng = random.Random(9)
+    texts = ["a" * 5001, "ab" * 3000 + "a", "".join(rng.choice("etaoinshrdlu") for _ in range(40_000)), "aaa bbb", "x", "", None]
+    flat, sizes = tokens.Encoder(tokens.BYTE_BPE_50K).encode(texts)
+    ends = np.cumsum(sizes)
+    for t, size, end in zip(texts, sizes, ends, strict=True):
+        assert flat[end - size : end].tolist() == (library.encode(t, add_special_tokens=False).ids if t else [])
+
+
+def test_pair_tables_of_any_size():
+    n = 300_000
+    left, right = np.arange(n, dtype=np.int32) % 5000, np.arange(n, dtype=np.int32) // 5000
+    table = tokens.PairTable(left, right)
+    assert (table.rank(left, right) == np.arange(n)).all() and table.rank(np.array([4999]), np.array([9999]))[0] == 2**31 - 1
+
+
+@pytest.mark.parametrize(("text", "code"), [("M1 1AE", "M11AE"), ("SW1A 1AA", "SW1A1AA"), ("W1A 0AX", "W1A0AX"), ("B33 8TH", "B338TH"), ("EC1A 1BB", "EC1A1BB"), ("xmi9 izs", "XM191ZS"), ("nowhere", "")])
+def test_postcodes_of_all_forms(text, code):
+    assert postcode_of(text, whole=True)[0] == code
+    assert postcode_of(f"7 Mill Road, {text.upper()}")[0] == (code if code != "XM191ZS" else code)
+    assert postcode_of("Flat B3 2nd Floor")[0] == ""
+
+
+@pytest.mark.parametrize(("a", "b"), [("ИВАНОВ, Иван", "Иван Ивановв"), ("ΠΑΠΑΔΟΠΟΥΛΟΣ, Νίκος", "Νικος Παπαδόπουλος"), ("山本太郎左衛門", "山本太郞左衛門")])
+def test_names_of_other_scripts_are_linked(spark, a, b):
+    officers = spark.createDataFrame([(1, a, (5, 1960)), (2, b, (5, 1960)), (3, a, (6, 1971))], "officer_row_id bigint, name string, date_of_birth struct<month:int,year:int>")
+    firms = spark.createDataFrame([(1, ("株式会社トヨタ自動車", "1")), (2, ("ООО Ромашка Плюс", "2")), (3, ("ООО Ромашка Плюс.", None))], "appointment_id bigint, appointed_to struct<company_name:string,company_number:string>")
+    got = {(r.entity_kind, r.id_a, r.id_b) for r in variants.name_variants(officers, firms).collect()}
+    assert got == {("officer", 1, 2), ("company", 2, 3)}
+    members = {(r.entity_kind, r.id): r for r in variants.name_members(officers, firms).collect()}
+    assert len(members) == 6 and members["officer", 1].cluster == members["officer", 2].cluster != members["officer", 3].cluster
+
+
+def test_clusters_of_long_chains(spark):
+    nodes = spark.createDataFrame([(i, i) for i in range(12)], "id bigint, weight int")
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(11)], "a bigint, b bigint, likeness double")
+    assert {r.center for r in banding.star_clusters(nodes, edges).collect()} == {11}
+
+
+def test_stuffed_documents_by_phrases_and_templates_not_clauses(spark):
+    found = {r.doc_id for r in stuffed.stuffed_pages(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    phrases, templates, clauses = {325, 380, 554, 562, 669, 690, 902, 977}, {251, 711, 835, 995}, {227, 323, 381}
+    assert phrases | templates <= found and not clauses & found
+
+
+def test_marginals_of_the_mix(spark):
+    documents, targets = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "mix_target"))
+    for r in mixing.marginals(documents, targets).collect():
+        assert abs(r.wanted_share - r.actual_share) < {"source": 1e-3, "topic": 0.02, "lang": 0.03}[r.kind], r
