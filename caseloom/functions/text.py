@@ -89,3 +89,30 @@ def full_years(start: Column, end: Column) -> Column:
 def safe_params(params: Column) -> Column:
     """Parameters whose name speaks of no secret."""
     return F.map_filter(params, lambda k, v: ~k.rlike("(?i)(key|token|secret|auth|password)"))
+
+
+def folder_number(c: Column) -> Column:
+    """A company's number in lower case if it may name a folder (one to ten ASCII letters and digits); else null."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"^[A-Za-z0-9]{1,10}$"), F.lower(t))
+
+
+def escape_bars(c: Column) -> Column:
+    """Text for a table's cell."""
+    return F.replace(c, F.lit("|"), F.lit("\\|"))
+
+
+def without_fence(c: Column) -> Column:
+    """Text without the code fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+
+
+def canonical_json(params: Column) -> Column:
+    """A map of texts as compact JSON, its keys sorted; null values are empty."""
+    entries = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value")))
+    return F.to_json(F.map_from_entries(entries))
+
+
+def marked(c: Column, pattern: str) -> Column:
+    """The first group of the first place that fits the pattern; '' without one."""
+    return F.regexp_extract(c, pattern, 1)

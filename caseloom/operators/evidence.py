@@ -6,6 +6,7 @@ reference day as a parameter.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,35 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
 
 
 def unique_names(df: DataFrame, base: str, order: str, out: str) -> DataFrame:
-    """base, base-2, base-3 ... in order, one name per row."""
+    """base, base-2, base-3 ... in order, one name per row, no name twice.
+
+    A base that itself ends in a number may be what another one becomes; only
+    bases of which that is true are named one after the other, as many together
+    as have the same beginning, all others by their rank.
+    """
     k = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return df.withColumn(out, F.when(k == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), k.cast("string"))))
+    ranked = F.when(k == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), k.cast("string")))
+    root = F.regexp_replace(base, r"(-\d+)+$", "")
+    marked = df.withColumn("_root", root)
+    clash = marked.groupBy("_root").agg(F.count_distinct(base).alias("_n")).where("_n > 1").select("_root")
+    schema = df.schema.add(out, "string")
+
+    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="_root").sort_values([order, base]).reset_index(drop=True)
+        taken: set[str] = set()
+        following: dict[str, int] = {}
+        names = []
+        for b in pdf[base]:
+            n, name = following.get(b, 2), b
+            while name in taken:
+                name, n = f"{b}-{n}", n + 1
+            following[b] = n
+            taken.add(name)
+            names.append(name)
+        return pdf.assign(**{out: names})
+
+    alone = marked.join(clash, "_root", "left_anti").drop("_root").withColumn(out, ranked)
+    return alone.unionByName(marked.join(clash, "_root", "left_semi").groupBy("_root").applyInPandas(one_by_one, schema))
 
 
 def running_total(df: DataFrame, group: str, key: str, size: Column, out: str, width: int = 1_000) -> DataFrame:
@@ -69,6 +96,24 @@ def resolve_titles(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.select("query", outcome.alias("outcome"), number.alias("company_number"), n.alias("n_candidates"))
 
 
+def resolve_hits(hits: DataFrame) -> DataFrame:
+    """(query, title, company_number), title null for a query without a hit -> query, outcome, company_number, n_candidates, set_aside.
+
+    A query shaped like a number is direct. A lone candidate is taken whatever
+    its title; of several, the only one of the same title, the others being set
+    aside. Repeated candidates count once.
+    """
+    h = hits.distinct().withColumn("exact", X.title_key(F.col("title")) == X.title_key(F.col("query")))
+    g = h.groupBy("query").agg(
+        F.count("company_number").alias("n"), F.count_if("exact").alias("n_exact"), F.min("company_number").alias("only"), F.min(F.when(F.col("exact"), F.col("company_number"))).alias("same")
+    )
+    number, n = X.company_number(F.col("query")), F.col("n")
+    outcome = F.when(number.isNotNull(), "number").when(n == 0, "empty").when(n == 1, "single").when(F.col("n_exact") == 1, "exact").otherwise("ambiguous")
+    taken = F.when(number.isNotNull(), number).when(n == 1, F.col("only")).when(F.col("n_exact") == 1, F.col("same"))
+    aside = F.when(number.isNull() & (n > 1) & (F.col("n_exact") == 1), n - 1).otherwise(0)
+    return g.select("query", outcome.alias("outcome"), taken.alias("company_number"), n.alias("n_candidates"), aside.cast("bigint").alias("set_aside"))
+
+
 def current_elsewhere(officers: DataFrame, appointments: DataFrame) -> DataFrame:
     """Current appointments, in other companies, of a company's current officers: company_number, officer_row_id, name, other_number, other_name."""
     now = officers.where("resigned_on is null").select("company_number", "officer_row_id", "name", X.officer_id(F.col("links.officer.appointments")).alias("officer_id")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import text as X
 from caseloom.operators import evidence as E
 from caseloom.operators.vectors import top_matches
+from caseloom.operators.wording import listed_terms
 from caseloom.sources.tables import table
 
 AS_OF = dt.date(2026, 1, 1)
@@ -362,13 +363,13 @@ def quote_verification(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """select doc_id, len(regexp_extract_all(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '(^|[^\\p{L}\\p{N}_])(fraud|liar|lying|crook|criminal|scam|tax refund|nominee)($|[^\\p{L}\\p{N}_])')) as n_hits
-    from documents where text is not null and regexp_matches(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '(^|[^\\p{L}\\p{N}_])(fraud|liar|lying|crook|criminal|scam|tax refund|nominee)($|[^\\p{L}\\p{N}_])')"""
+    """with w as (select doc_id, string_split_regex(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+') as w from documents where text is not null),
+    n as (select doc_id, len(list_filter(w, lambda x: x in ('fraud', 'liar', 'lying', 'crook', 'criminal', 'scam', 'nominee'))) + len(list_filter(range(1, len(w)), lambda i: w[i] = 'tax' and w[i + 1] = 'refund')) as n_hits from w)
+    select * from n where n_hits > 0"""
 )
 def vocabulary_gate(spark: SparkSession, d: str) -> DataFrame:
-    t = F.regexp_replace(F.lower("text"), r"https?://\S+", " ")
-    n = F.regexp_count(t, F.lit(r"(^|[^\p{L}\p{N}_])(fraud|liar|lying|crook|criminal|scam|tax refund|nominee)($|[^\p{L}\p{N}_])"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", n.cast("bigint").alias("n_hits")).where("n_hits > 0")
+    hits = listed_terms(F.col("text"), ("fraud", "liar", "lying", "crook", "criminal", "scam", "tax refund", "nominee"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(hits).cast("bigint").alias("n_hits")).where("n_hits > 0")
 
 
 @_query(
