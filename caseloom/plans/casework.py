@@ -408,8 +408,8 @@ def deck_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""with w as (select doc_id, {_WORDS.format(c=f"replace({_URLS.format(c='text')}, 'a nominee director', ' ')")} as w from documents where text is not null),
-    n as (select doc_id, len(list_filter(w, lambda x: list_contains({[t for t in WATCHED if ' ' not in t]}, x))) + len(list_filter(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1] in ('con artist', 'tax refund'))) as n_hits from w)
+    f"""with w as (select doc_id, {_WORDS.format(c=f"replace({_URLS.format(c='text')}, 'a nominee director', ' ')")} as w, replace(lower({_URLS.format(c='text')}), ' ', '  ') as t from documents where text is not null),
+    n as (select doc_id, len(list_filter(w, lambda x: list_contains({[t for t in WATCHED if ' ' not in t]}, x))) + len(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_])(?:con\\s+artist|tax\\s+refund)(?:$|[^\\p{{L}}\\p{{N}}_])')) as n_hits from w)
     select * from n where n_hits > 0"""
 )
 def open_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -363,8 +363,8 @@ def quote_verification(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """with w as (select doc_id, string_split_regex(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_]+') as w from documents where text is not null),
-    n as (select doc_id, len(list_filter(w, lambda x: x in ('fraud', 'liar', 'lying', 'crook', 'criminal', 'scam', 'nominee'))) + len(list_filter(range(1, len(w)), lambda i: w[i] = 'tax' and w[i + 1] = 'refund')) as n_hits from w)
+    """with w as (select doc_id, t, string_split_regex(t, '[^\\p{L}\\p{N}_]+') as w from (select doc_id, lower(regexp_replace(text, 'https?://\\S+', ' ', 'g')) as t from documents where text is not null)),
+    n as (select doc_id, len(list_filter(w, lambda x: x in ('fraud', 'liar', 'lying', 'crook', 'criminal', 'scam', 'nominee'))) + len(regexp_extract_all(replace(t, ' ', '  '), '(?:^|[^\\p{L}\\p{N}_])tax\\s+refund(?:$|[^\\p{L}\\p{N}_])')) as n_hits from w)
     select * from n where n_hits > 0"""
 )
 def vocabulary_gate(spark: SparkSession, d: str) -> DataFrame:

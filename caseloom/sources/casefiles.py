@@ -85,11 +85,11 @@ def write_case_folders(cases: DataFrame, memos: DataFrame, log: DataFrame, evide
 
 
 def read_decks(spark: SparkSession, path: str, most_bytes: int = 50_000_000) -> DataFrame:
-    """Files below a folder as decks: path, n_bytes, sha256, state ('ok', 'oversize', 'empty', 'not a pdf'); contents beyond most_bytes aren't read."""
+    """Files below a folder as decks: path, n_bytes, sha256, state ('ok', 'oversize', 'not a pdf'); contents beyond most_bytes aren't read, empty files have no row."""
     files = spark.read.format("binaryFile").load(path)
     inside = F.col("length") <= most_bytes
     begins = F.substring("content", 1, 5) == F.encode(F.lit("%PDF-"), "utf-8")
-    state = F.when(~inside, "oversize").when(F.col("length") == 0, "empty").when(begins, "ok").otherwise("not a pdf")
+    state = F.when(~inside, "oversize").when(begins, "ok").otherwise("not a pdf")
     return files.select("path", F.col("length").alias("n_bytes"), F.when(inside, F.sha2("content", 256)).alias("sha256"), state.alias("state"))
 
 
