@@ -47,8 +47,7 @@ class StructuralIndex:
     def __init__(self, bodies: list[bytes]):
         self.data = data = np.frombuffer(b"\n".join([*bodies, b""]), np.uint8)
         ends = np.cumsum([len(b) + 1 for b in bodies]) - 1
-        n, at = len(data), np.arange(len(data))
-        begins = np.concatenate(([0], ends[:-1] + 1)) if len(bodies) else ends
+        at = np.arange(len(data))
         plain = data != 92
         last_plain = np.maximum.accumulate(np.where(plain, at, -1))
         before = np.concatenate(([-1], last_plain[:-1]))
@@ -110,7 +109,6 @@ class StructuralIndex:
         if len(has):
             k = np.searchsorted(k_start, self.start[has]) - 1
             self.key_start[has], self.key_end[has] = k_start[k] + 1, k_end[k]
-        assert n == len(data) and len(begins) == len(bodies)
 
     def named(self, key: str) -> np.ndarray:
         """Which values are members of an object under this key; of a repeated key, only the last."""
@@ -150,7 +148,6 @@ class StructuralIndex:
 def _index_rows(keys: list[int], bodies: list[bytes]) -> Iterator[tuple]:
     index = StructuralIndex(bodies)
     parent, kind, place = index.parent, index.kind, index.place
-    nothing = np.zeros(len(parent) + 1, bool)  # the last stands for _NONE, no parent
 
     def under(mask: np.ndarray) -> np.ndarray:
         return np.append(mask, False)[parent]
@@ -208,7 +205,6 @@ def _index_rows(keys: list[int], bodies: list[bytes]) -> Iterator[tuple]:
     for v in np.flatnonzero(child).tolist():
         up = int(parent[v]) if former[v] else int(grand[v])
         yield keys[index.doc[v]], int(item_pos[up]), int(child_pos[v]), say(names, v), "", ""
-    del nothing
 
 
 def nested_rows(keys: list[int], bodies: list[bytes]) -> list[tuple]:
