@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from caseloom.llm import banding, mixing, names, pagebody, places, stuffed, tokens, variants
 from caseloom.llm.addressparts import parts_of, postcode_of
@@ -282,8 +283,8 @@ def test_no_surname_in_a_crowd_is_missed(spark):
 def test_all_colliding_companies_are_paired(spark):
     typed = [f"Optical {a}{b}" for a in ("Frostadver", "Frostadvre", "Frostdaver", "Frosatdver") for b in (" Holdings", " Hldgs", " Holdigns", " Holdinsg", "Holdings")]
     keys = [" ".join(sorted(names.company_words(n))) for n in typed]
-    df = spark.createDataFrame([(i, k, 0, 7) for i, k in enumerate(keys)], "node int, key string, band int, code int")
-    got = {tuple(r) for r in banding.colliding_pairs(df, "node", "key", variants.may_be_one_company).collect()}
+    df = spark.createDataFrame([(i, k.split(), 0, 7) for i, k in enumerate(keys)], "node int, words array<string>, band int, code int")
+    got = {tuple(r) for r in banding.colliding_pairs(df, "node", "words", variants.may_be_one_company).collect()}
     alike = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if names.company_likeness(tuple(keys[i].split()), tuple(keys[j].split())) > 0}
     assert len(alike) > 6 * len(keys) and alike <= got
 
@@ -305,10 +306,11 @@ def test_no_likeness_of_companies_is_dropped(spark):
         pairs |= {(" ".join(sorted(x)), " ".join(sorted(y))) for x, y in ((a, b), (b, a))}
     pairs = [p for p in pairs if names.company_likeness(tuple(p[0].split()), tuple(p[1].split())) > 0]
     assert len(pairs) > 1500
-    df = spark.createDataFrame(pairs, "ka string, kb string")
-    assert df.where(~variants.may_be_one_company(df.ka, df.kb)).collect() == []
-    far = spark.createDataFrame([("bradom marine", "bradom staffing"), ("bradom", "bradom marine staffing")], "ka string, kb string")
-    assert far.where(variants.may_be_one_company(far.ka, far.kb)).count() == 0
+    df = spark.createDataFrame([(a.split(), b.split()) for a, b in pairs], "wa array<string>, wb array<string>")
+    assert df.where(~variants.may_be_one_company(df.wa, df.wb)).collect() == []
+    far = [("bradom marine", "bradom staffing"), ("bradom", "bradom marine staffing"), ("frostadver marine", "frostadver media")]
+    far = spark.createDataFrame([(a.split(), b.split()) for a, b in far], "wa array<string>, wb array<string>")
+    assert far.where(variants.may_be_one_company(far.wa, far.wb)).count() == 0
 
 
 def test_companies_whose_weightiest_words_differ(spark):
@@ -469,3 +471,22 @@ def test_marginals_of_the_mix(spark):
     documents, targets = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "mix_target"))
     for r in mixing.marginals(documents, targets).collect():
         assert abs(r.wanted_share - r.actual_share) < {"source": 1e-3, "topic": 0.02, "lang": 0.03}[r.kind], r
+
+
+def test_shapes_of_odd_texts(spark):
+    long = "The lender agreed to extend the facility until Monday. " * 30_000
+    texts = [None, "", " \n\t ", "a", "!", "🙂 🙂", "\ud83d"[:0], "http://x.example", "no stop at all but few words", "https://a.example/?k=x\n" * 3000, long, "x" * 300_000, "1.", "漢字。" * 50, "buy cheap loans, " * 40_000]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, texts[9])], "doc_id int, text string").withColumn("shape", F.lit("clash"))
+    got = {r.doc_id: r for r in stuffed.page_shapes(df.withColumn("doc_id", F.col("doc_id").cast("bigint"))).collect()}
+    assert {i for i, r in got.items() if r.stuffed} == {7, 9, 14} and not {0, 1, 2} & set(got)
+    assert got[10].chars == len(long) - 30_000 and got[3].chars == 1
+    assert stuffed.stuffed_pages(df).count() == 3
+
+
+def test_pieces_of_a_text_are_told_as_the_whole(monkeypatch):
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(["Visit us. It is good.", "cheap loans cheap loans cheap loans now", "https://x.example/a", "Officers", "Need loans in Rome? Our loans Rome team offers loans."]) for _ in range(60)) for _ in range(40)]
+    whole = stuffed.stuffed_characters(texts)
+    monkeypatch.setattr(stuffed, "BLOCK_CHARS", 100)
+    pieces = stuffed.stuffed_characters(texts)
+    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
