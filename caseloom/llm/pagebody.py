@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.spread import spread
 
-#: Pages that seed labels are made of, and the network is trained on; the only bound by number.
-TRAIN_PAGES = 2000
+#: Pages that seed labels are made of, and the network is trained on, and characters that such a page may have: the bound of what the fit reads.
+TRAIN_PAGES, TRAIN_CHARS = 2000, 200_000
 WORDS, EMBED, HIDDEN, EPOCHS, BATCH, SEED = 1 << 13, 20, 24, 6, 48, 7
 #: Blocks of a page whose inputs are multiplied at once, and after which training starts a new sequence. Labelling reads pages whole.
 WINDOW = 400
@@ -325,7 +325,7 @@ def body_lines(pages: DataFrame) -> DataFrame:
     count once. Blank lines are never body.
     """
     read = pages.select("page_id", "text").where("page_id is not null and text is not null and text <> ''")
-    sample = read.orderBy(F.xxhash64("page_id"), "text").limit(TRAIN_PAGES).select("text").collect()
+    sample = read.where(F.length("text") <= TRAIN_CHARS).orderBy(F.xxhash64("page_id"), "text").limit(TRAIN_PAGES).select("text").collect()
     weights = read.sparkSession.sparkContext.broadcast(train([r.text for r in sample]).w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
