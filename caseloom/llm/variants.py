@@ -230,18 +230,22 @@ def person_clusters(parsed: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def may_be_one_company(ka: Column, kb: Column) -> Column:
-    """Whether two keys (telling words, joined by blanks) may be alike: true wherever company_likeness is above 0, and computed in the JVM.
+def may_be_one_company(wa: Column, wb: Column) -> Column:
+    """Whether two lists of telling words may be alike: true wherever company_likeness is above 0, and computed in the JVM.
 
     Swaps count one in company_likeness and two here. An abbreviation has its
-    word's first letter and is about as many edits away as it is shorter.
+    word's first letter and is as many edits away as it is shorter, with an s at
+    its end two more at most; one with a typo is like its word's beginning.
     """
-    wa, wb = F.split(ka, " "), F.split(kb, " ")
 
     def like(x: Column, y: Column) -> Column:
-        n = F.least(F.length(x), F.length(y))
-        typo = F.levenshtein(x, y, 4).between(0, F.when(n < 4, 0).when(n < 8, 2).otherwise(4))
-        return typo | ((F.left(x, F.lit(1)) == F.left(y, F.lit(1))) & (F.levenshtein(x, y) <= F.abs(F.length(x) - F.length(y)) + 2))
+        m, n = F.length(x), F.length(y)
+        least = F.least(m, n)
+        typo = (F.abs(m - n) <= 2) & F.levenshtein(x, y, 4).between(0, F.when(least < 4, 0).when(least < 8, 2).otherwise(4))
+        short, full = F.when(m < n, x).otherwise(y), F.when(m < n, y).otherwise(x)
+        cut_short = F.levenshtein(x, y) <= F.abs(m - n) + F.when(short.endswith("s"), 2).otherwise(0)
+        mistyped = (least >= 4) & (F.levenshtein(short, F.left(full, least), 2) >= 0)
+        return typo | ((F.left(x, F.lit(1)) == F.left(y, F.lit(1))) & (m != n) & (mistyped | cut_short))
 
     def all_like(words: Column, others: Column) -> Column:
         return F.forall(words, lambda x: F.exists(others, lambda y: like(x, y)))
@@ -255,7 +259,7 @@ def may_be_one_company(ka: Column, kb: Column) -> Column:
         return (alone(few, many) <= 1) & (alone(many, few) <= 2) & whole
 
     more = F.size(wb) - F.size(wa)
-    joined = F.levenshtein(F.replace(ka, F.lit(" ")), F.replace(kb, F.lit(" ")), 4) >= 0
+    joined = F.levenshtein(F.array_join(wa, ""), F.array_join(wb, ""), 4) >= 0
     return (
         F.when(more == 0, all_like(wa, wb) & all_like(wb, wa))
         .when(more == 1, joined | glued(wa, wb))
@@ -280,7 +284,7 @@ def company_clusters(rows: DataFrame) -> DataFrame:
     nodes = cut(keyed.groupBy("node").agg(F.first("key").alias("key"), F.max("registered").alias("registered"), F.sum("n").alias("n")))
     weights = gram_weights(nodes, "key", 3)
     bands = bands_for(COMPANY_SIMILARITY, COMPANY_ROWS, RECALL)
-    codes = cut(band_codes(spread(nodes, "node"), "node", "key", 3, bands, COMPANY_ROWS, weights).join(nodes.select("node", "registered", "key"), "node"))
+    codes = cut(band_codes(spread(nodes, "node"), "node", "key", 3, bands, COMPANY_ROWS, weights).join(nodes.select("node", "registered", F.split("key", " ").alias("words")), "node"))
     named = nodes.select("node", "key")
 
     @F.pandas_udf("double")
@@ -288,15 +292,15 @@ def company_clusters(rows: DataFrame) -> DataFrame:
         return pd.Series([N.company_likeness(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     like = like.asNondeterministic()
-    typed = codes.where("not registered").select(F.col("node").alias("a"), F.col("key").alias("ka"), "band", "code")
-    official = codes.where("registered").select(F.col("node").alias("b"), F.col("key").alias("kb"), "band", "code")
+    typed = codes.where("not registered").select(F.col("node").alias("a"), F.col("words").alias("wa"), "band", "code")
+    official = codes.where("registered").select(F.col("node").alias("b"), F.col("words").alias("wb"), "band", "code")
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(named.withColumnsRenamed({"node": "a", "key": "ka"}), "a").join(named.withColumnsRenamed({"node": "b", "key": "kb"}), "b")
         return full.select("a", "b", like("ka", "kb").alias("likeness")).where(F.col("likeness") >= COMPANY_LIKENESS)
 
     # What collided but can't be alike is dropped before it is shuffled.
-    found = verify(typed.join(official, ["band", "code"]).where(may_be_one_company(F.col("ka"), F.col("kb"))).select("a", "b").distinct())
+    found = verify(typed.join(official, ["band", "code"]).where(may_be_one_company(F.col("wa"), F.col("wb"))).select("a", "b").distinct())
     ranked = found.withColumns(
         {
             "k": F.row_number().over(Window.partitionBy("a").orderBy(F.desc("likeness"), "b")),
@@ -307,7 +311,7 @@ def company_clusters(rows: DataFrame) -> DataFrame:
     attached = cut(attached)
     loose = cut(nodes.where("not registered").join(attached, "node", "left_anti"))
     loose_codes = codes.join(loose.select("node"), "node")
-    edges = verify(colliding_pairs(loose_codes, "node", "key", may_be_one_company))
+    edges = verify(colliding_pairs(loose_codes, "node", "words", may_be_one_company))
     stars = star_clusters(loose.select(F.col("node").alias("id"), F.col("n").cast("int").alias("weight")), edges).withColumnRenamed("id", "node")
     own = nodes.where("registered").select("node", F.col("node").alias("center"))
     every = own.unionByName(attached).unionByName(stars)
