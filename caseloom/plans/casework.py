@@ -367,7 +367,9 @@ def findings_bag(spark: SparkSession, d: str) -> DataFrame:
 # -- pages and prose
 
 
-@_query()
+@_query(
+    r"""select doc_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace(text, '(<[^>]*>)[\s\p{Z}]+(<[a-zA-Z/])', '\1\2', 'g'), '</?(p|div|br|li|ul|ol|h[1-6])\b[^>]*>', chr(10), 'gi'), '<[a-zA-Z/!][^>]*>', '', 'g'), '\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]'), lambda x: trim(regexp_replace(x, '[\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as page_text from documents"""
+)
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """The visible text of every document read as a page."""
     return table(spark, d, "documents").select("doc_id", G.page_text("text").alias("page_text"))
@@ -421,7 +423,13 @@ def open_terms(spark: SparkSession, d: str) -> DataFrame:
     return hits.where("n_hits > 0")
 
 
-@_query()
+@_query(
+    r"""with t as (select doc_id, text as t, chr(10) || coalesce(text, '') || chr(10) as x from documents where source = 'memo_archive'),
+p as (select *, strpos(x, chr(10) || '## Media' || chr(10)) as b from t), q as (select *, case when b > 0 then strpos(substr(x, b + 1), chr(10) || '## ') end as l from p),
+r as (select doc_id, t, case when l > 0 then b - 1 end as region_begin, case when l > 0 then b - 1 + l end as region_end from q),
+h as (select *, regexp_extract_all(replace(lower(case when region_begin is null then coalesce(t, '') else substr(t, 1, region_begin) || ' ' || replace(substr(t, region_begin + 1, region_end - region_begin), 'nominee director', ' ') || ' ' || substr(t, region_end + 1) end), ' ', '  '), '(?:^|[^\p{L}\p{N}_])(fraud|fraudulent|fraudster|lying|liar|lied|criminal|crime|scam|sham|dishonest|dishonesty|deceit|deceitful|crook|con\s+artist|nominee|tax\s+refund)(?:$|[^\p{L}\p{N}_])', 1) as h from r)
+select doc_id, region_begin, region_end, array_to_string(list_transform(h, lambda x: regexp_replace(x, '\s+', ' ', 'g')), ',') as hits from h"""
+)
 def memo_regions(spark: SparkSession, d: str) -> DataFrame:
     """Where a memo's section on media stands, and the listed terms outside its quotations."""
     docs = table(spark, d, "documents").where("source = 'memo_archive'").select("doc_id", "text")
