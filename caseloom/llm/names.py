@@ -113,6 +113,7 @@ def person_parts(name: str | None, given_words: frozenset[str] = frozenset()) ->
     return (last, tuple(words[:-1])) if at_end else (first, tuple(words[1:]))
 
 
+@lru_cache(200_000)
 def same_given(a: str, b: str) -> float:
     """Likeness of two given names: 1 equal, less for short forms, initials and typos, 0 for different ones."""
     if a == b:
@@ -136,6 +137,7 @@ def same_given(a: str, b: str) -> float:
     return 0.0
 
 
+@lru_cache(200_000)
 def same_surname(a: str, b: str) -> float:
     if a == b:
         return 1.0

@@ -47,7 +47,9 @@ def given_words(rows: DataFrame) -> DataFrame:
 
 
 def person_profiles(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(id, name, year, month) -> the same with surname, givens (joined by blanks) and profile, the id of their combination.
+    """(side, id, name, year, month) -> the same with surname, givens (joined by blanks) and profile, the id of their combination.
+
+    Rows of different sides never meet, so several lists of persons can be worked on together.
 
     known: the given words that tell where the surname of a name without comma
     stands. Rows whose name has no letters or digits are left out. A month
@@ -76,9 +78,9 @@ def person_profiles(rows: DataFrame, known: DataFrame | None = None) -> DataFram
 
     year = F.col("year").cast("int")
     month = F.when(year.isNotNull() & F.col("month").between(1, 12), F.col("month").cast("int"))
-    parsed = rows.select("id", "name", year.alias("year"), month.alias("month"), "p")
-    return parsed.select("id", "name", "year", "month", "p.surname", "p.givens").where("surname <> ''").withColumn(
-        "profile", F.xxhash64("surname", "givens", F.coalesce("year", F.lit(0)), F.coalesce("month", F.lit(0)))
+    parsed = rows.select("side", "id", "name", year.alias("year"), month.alias("month"), "p")
+    return parsed.select("side", "id", "name", "year", "month", "p.surname", "p.givens").where("surname <> ''").withColumn(
+        "profile", F.xxhash64("side", "surname", "givens", F.coalesce("year", F.lit(0)), F.coalesce("month", F.lit(0)))
     )
 
 
@@ -164,7 +166,7 @@ def given_letters(givens: pd.Series) -> pd.Series:
 
 
 def person_clusters(parsed: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of person_profiles and their surname_links -> (id, name, year, month, surname, givens, cluster): entries that are one person's, by name and birth date.
+    """Rows of person_profiles and their surname_links -> (side, id, name, year, month, surname, givens, cluster): entries that are one person's, by name and birth date.
 
     Entries with different full birth dates are never one person. An entry
     without birth date joins the person that its name fits best if there is
@@ -172,17 +174,17 @@ def person_clusters(parsed: DataFrame, links: DataFrame) -> DataFrame:
     """
     profiles = cut(
         parsed.groupBy("profile").agg(
-            F.first("surname").alias("surname"), F.first("givens").alias("givens"), F.first("year").alias("year"), F.first("month").alias("month"), F.count(F.lit(1)).alias("n")
+            F.first("side").alias("side"), F.first("surname").alias("surname"), F.first("givens").alias("givens"), F.first("year").alias("year"), F.first("month").alias("month"), F.count(F.lit(1)).alias("n")
         )
     )
     # Entries meet by month; those without one under every month, and among themselves under 0.
     months = lambda m: F.when(F.col(m).isNotNull(), F.array(m)).otherwise(F.sequence(F.lit(0), F.lit(12)))
     spelled = profiles.join(links.select("surname", "linked"), "surname")
-    other = profiles.select(F.col("profile").alias("b"), F.col("surname").alias("linked"), F.col("givens").alias("gb"), F.col("year").alias("year"), F.col("month").alias("mb"), "n")
+    other = profiles.select("side", F.col("profile").alias("b"), F.col("surname").alias("linked"), F.col("givens").alias("gb"), F.col("year").alias("year"), F.col("month").alias("mb"), "n")
     met = (
-        spelled.where("year is not null").select(F.col("profile").alias("a"), "surname", "linked", "givens", "year", "month")
+        spelled.where("year is not null").select("side", F.col("profile").alias("a"), "surname", "linked", "givens", "year", "month")
         .withColumn("met", F.explode(months("month")))
-        .join(other.where("year is not null").withColumn("met", F.explode(months("mb"))), ["linked", "year", "met"])
+        .join(other.where("year is not null").withColumn("met", F.explode(months("mb"))), ["side", "linked", "year", "met"])
         .where("a < b and (met = 0 or month is not null or mb is not null)")
         .select("a", "b", person_like("surname", "givens", "linked", "gb").alias("likeness"))
         .where(F.col("likeness") >= DATED_LIKENESS)
@@ -196,14 +198,14 @@ def person_clusters(parsed: DataFrame, links: DataFrame) -> DataFrame:
 
     # Names of dated persons: how many persons bear each.
     held = profiles.join(clusters.withColumnRenamed("id", "profile"), "profile")
-    borne = held.groupBy("surname", "givens").agg(F.min("center").alias("person"), F.max("center").alias("other_person"))
+    borne = held.groupBy("side", "surname", "givens").agg(F.min("center").alias("person"), F.max("center").alias("other_person"))
     undated = profiles.where("year is null")
     asked = cut(
         undated.join(links.select("surname", "linked"), "surname")
         .withColumn("letter", F.explode(given_letters("givens")))
         .join(
-            borne.select(F.col("surname").alias("linked"), F.col("givens").alias("gb"), "person", "other_person", F.explode(given_letters("givens")).alias("letter")),
-            ["linked", "letter"],
+            borne.select("side", F.col("surname").alias("linked"), F.col("givens").alias("gb"), "person", "other_person", F.explode(given_letters("givens")).alias("letter")),
+            ["side", "linked", "letter"],
         )
         .select("profile", "surname", "givens", "linked", "gb", "person", "other_person").distinct()
         .select("profile", "person", "other_person", person_like("surname", "givens", "linked", "gb").alias("likeness"))
@@ -216,17 +218,17 @@ def person_clusters(parsed: DataFrame, links: DataFrame) -> DataFrame:
     )
     joined = fits.where("center = last").select(F.col("profile").alias("id"), "center")
     rest = cut(undated.join(joined.withColumnRenamed("id", "profile"), "profile", "left_anti"))
-    other_rest = rest.select(F.col("profile").alias("b"), F.col("surname").alias("linked"), F.col("givens").alias("gb"), F.explode(given_letters("givens")).alias("letter"))
+    other_rest = rest.select("side", F.col("profile").alias("b"), F.col("surname").alias("linked"), F.col("givens").alias("gb"), F.explode(given_letters("givens")).alias("letter"))
     alike = (
         rest.join(links.select("surname", "linked"), "surname").withColumn("letter", F.explode(given_letters("givens")))
-        .select(F.col("profile").alias("a"), "surname", "linked", "givens", "letter").join(other_rest, ["linked", "letter"])
+        .select("side", F.col("profile").alias("a"), "surname", "linked", "givens", "letter").join(other_rest, ["side", "linked", "letter"])
         .where("a < b").select("a", "b", "surname", "givens", "linked", "gb").distinct()
         .select("a", "b", person_like("surname", "givens", "linked", "gb").alias("likeness")).where(F.col("likeness") >= UNDATED_LIKENESS)
     )
     loose = star_clusters(rest.select(F.col("profile").alias("id"), weight.alias("weight")), alike)
     every = cut(clusters.unionByName(joined).unionByName(loose))
     return parsed.join(every.withColumnRenamed("id", "profile"), "profile").select(
-        "id", "name", "year", "month", "surname", "givens", F.col("center").alias("cluster")
+        "side", "id", "name", "year", "month", "surname", "givens", F.col("center").alias("cluster")
     )
 
 
@@ -333,7 +335,7 @@ def variant_pairs(clustered: DataFrame) -> DataFrame:
 
 def officer_rows(officers: DataFrame) -> DataFrame:
     return officers.select(
-        F.col("officer_row_id").alias("id"), "name", F.col("date_of_birth.year").alias("year"), F.col("date_of_birth.month").alias("month")
+        F.lit("officer").alias("side"), F.col("officer_row_id").alias("id"), "name", F.col("date_of_birth.year").alias("year"), F.col("date_of_birth.month").alias("month")
     ).where("id is not null").distinct()
 
 
