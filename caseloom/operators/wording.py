@@ -121,7 +121,8 @@ def origin_years(c: Column) -> Column:
     """Years that a text gives as its company's origin, 1800 to 2099, ascending, each once; a denial shortly before takes one back."""
     edge, folded = r"(?<![\p{L}\p{N}_])", X.fold_for_match(c)
     denied = "".join(rf"(?<!{edge}{d}(?![\p{{L}}\p{{N}}_]).{{0,{DENIAL_WINDOW - len(d)}}})" for d in _DENIALS)
-    found = [F.regexp_extract_all(folded, F.lit(f"{edge}{denied}{verb}{_YEAR}"), F.lit(1)) for verb in (_LASTING, _BEGINNING)]
+    # What stands before is looked at only where a verb and a year follow. The year in the lookahead is a group too.
+    found = [F.regexp_extract_all(folded, F.lit(f"{edge}(?={verb}{_YEAR}){denied}{verb}{_YEAR}"), F.lit(2)) for verb in (_LASTING, _BEGINNING)]
     lead = F.regexp_extract_all(folded, F.lit(rf"^since\s+{_YEAR}"), F.lit(1))
     years = F.transform(F.concat(*found, lead), lambda y: y.cast("int"))
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(years, lambda y: y.between(1800, 2099)))), F.array().cast("array<int>"))

@@ -12,6 +12,7 @@ from caseloom.operators import listings as L
 from caseloom.operators import pages as G
 from caseloom.operators import people as P
 from caseloom.operators import wording as W
+from caseloom.operators.timestamps import settle
 from caseloom.plans.screening import _FOLD, _TOKENS, AS_OF, _query
 from caseloom.sources import casefiles as S
 from caseloom.sources.tables import table
@@ -460,7 +461,8 @@ def origin_years(spark: SparkSession, d: str) -> DataFrame:
 )
 def origin_contradictions(spark: SparkSession, d: str) -> DataFrame:
     """Documents that give their company an origin before its incorporation: the earliest such year."""
-    y = table(spark, d, "documents").where("text is not null").select("doc_id", "company_number", F.explode(W.origin_years(F.col("text"))).alias("y"))
+    docs = settle(table(spark, d, "documents").where("text is not null").select("doc_id", "company_number", "text"), years=W.origin_years(F.col("text")))
+    y = docs.select("doc_id", "company_number", F.explode("years").alias("y"))
     c = table(spark, d, "company_profile").where("date_of_creation is not null").groupBy("company_number").agg(F.min("date_of_creation").alias("c"))
     early = y.join(c, "company_number").where(F.col("y") < F.year("c"))
     return early.groupBy("doc_id", "c").agg(F.min("y").alias("claimed_year")).select("doc_id", "claimed_year", F.col("c").cast("string").alias("incorporated_on"))
