@@ -2,9 +2,10 @@
 
 Documents fall into cells of source, language and topic; a cell's size is its
 tokens. Languages come from a naive Bayes classifier and topics from spherical
-k-means, both over hashed token counts and fitted on a bounded sample
-(SAMPLE_DOCUMENTS), so a null or wrong language label doesn't misplace a
-document; both are told in the pass that counts tokens. The cells' weights are
+k-means, both over hashed token counts and fitted on all documents, so a null or
+wrong language label doesn't misplace a document. Tokens are counted in one pass,
+which keeps the features that occur, and every step of the fits is a pass over
+these, of which only sums reach the driver. The cells' weights are
 raked in turn to the sources' targets and to the corpus' own language and topic
 shares, a cell never beyond max_repeats of its tokens; the sources come last and
 hold exactly. The whole mix is as large as the scarcest source allows.
@@ -20,7 +21,7 @@ within one document of their weights. All this alike for sources of all sizes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,16 +34,17 @@ from caseloom.llm.spread import spread
 from caseloom.llm.tokens import BYTE_BPE_50K, blocks, encoder
 from caseloom.session import cut
 
-#: Documents that the language and topic models are fitted on, the ones of least hash; the bound of what the fit reads.
-SAMPLE_DOCUMENTS = 2_000
-#: Hashed token features, topics, rounds of k-means, and the least share of the sample that a language needs to be one.
+#: Hashed token features, topics, rounds of k-means, and the least share of the documents that a language needs to be one.
 FEATURES, TOPICS, FIT_ROUNDS, LEAST_LANGUAGE = 1 << 10, 6, 15, 0.005
 #: Documents of one cell and length that are numbered in one task.
 GROUP_ROWS = 50_000
 RAKING_ROUNDS = 60
-#: Documents per cell and direction among which those that close a source's gap are looked for.
+#: Documents of least hash, and longest ones, per cell and direction among which those that close a source's gap are looked for.
 CLOSING = 8
 CELL = ["source", "lang", "topic"]
+#: Documents whose features are packed into one row, its columns, and the unit in which features are summed as whole numbers.
+PART_DOCUMENTS, UNIT = 1_000, float(1 << 24)
+PACKED = ["sources", "ids", "sizes", "held", "codes", "counts", "own"]
 
 
 class Models(NamedTuple):
@@ -56,103 +58,236 @@ class Models(NamedTuple):
     centers: np.ndarray
 
 
+class Part(NamedTuple):
+    """Documents' ids, sources, numbers of languages (as labelled, -1 for none, or as told) and of tokens; how many features each has, their documents' numbers, codes and log counts.
+
+    Where languages are told: what makes each document's features, and the mean
+    of its language, a difference of length one.
+    """
+
+    ids: np.ndarray
+    sources: list[str | None]
+    own: np.ndarray
+    sizes: np.ndarray
+    held: np.ndarray
+    rows: np.ndarray
+    codes: np.ndarray
+    tf: np.ndarray
+    stretch: np.ndarray | None = None
+    scale: np.ndarray | None = None
+
+    @property
+    def n(self) -> int:
+        return len(self.ids)
+
+
 def features(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How often each document has tokens of each hash, a row per document."""
     code = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 10)
     at = np.repeat(np.arange(len(sizes)), sizes) * FEATURES + code.astype(np.int64)
-    return np.bincount(at, minlength=len(sizes) * FEATURES).reshape(len(sizes), FEATURES).astype(np.float32)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
-def fit_models(counts: np.ndarray, labels: list[str | None]) -> Models:
-    """Models of a sample's features and the languages that it is labelled with, some wrongly: the classifier is fitted twice, the second time to its own labels."""
-    names = [(x or "").strip().lower() for x in labels]
-    often = pd.Series([n for n in names if len(n) == 2]).value_counts()
-    languages = tuple(sorted(often.index[often >= max(LEAST_LANGUAGE * len(names), 3)])) or ("und",)
-    own = np.array([languages.index(n) if n in languages else -1 for n in names], int)
-    if not len(counts):
-        counts, own = np.zeros((1, FEATURES), np.float32), np.zeros(1, int)
-    tf = np.log1p(counts)
-    for _ in range(2):
-        logs, priors = np.zeros((FEATURES, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-        for k in range(len(languages)):
-            total = tf[own == k].sum(0) + 0.1
-            logs[:, k] = np.log(total / total.sum())
-            priors[k] = np.log((own == k).sum() + 1.0)
-        own = (tf @ logs + priors).argmax(1)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32)
-    vectors = _unit(tf * idf)
-    means = np.stack([vectors[own == k].mean(0) if (own == k).any() else np.zeros(FEATURES, np.float32) for k in range(len(languages))])
-    vectors = _unit(vectors - means[own])
-    # The first center is the first document, every further one the document least like those before.
-    centers = vectors[:1]
-    for _ in range(TOPICS - 1):
-        centers = np.concatenate((centers, vectors[(vectors @ centers.T).max(1).argmin()][None]))
-    for _ in range(FIT_ROUNDS):
-        near = (vectors @ centers.T).argmax(1)
-        centers = _unit(np.stack([vectors[near == k].sum(0) if (near == k).any() else centers[k] for k in range(TOPICS)]))
-    return Models(languages, logs, priors, idf, means, centers)
+    return np.bincount(at, minlength=len(sizes) * FEATURES).reshape(len(sizes), FEATURES)
+
 
+def _times(part: Part, values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Each document's values times table, a row per feature."""
+    out = np.zeros((part.n, table.shape[1]))
+    filled = part.held > 0
+    if filled.any():
+        begin = (np.cumsum(part.held) - part.held)[filled]
+        for k, column in enumerate(np.ascontiguousarray(table.T)):
+            out[filled, k] = np.add.reduceat(values * column[part.codes], begin)
+    return out
 
-def tell(models: Models, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the language, number of the topic) of each row of features."""
-    tf = np.log1p(counts)
-    lang = (tf @ models.feature_logs + models.priors).argmax(1)
-    return lang, (_unit(_unit(tf * models.idf) - models.means[lang]) @ models.centers.T).argmax(1)
 
+def _language(models: Models, part: Part) -> np.ndarray:
+    return (_times(part, part.tf, models.feature_logs) + models.priors).argmax(1)
 
-def _encoded(path: str, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features, token counts) of parts of the texts, in order."""
-    enc = encoder(path)
-    for part in blocks(texts):
-        for at in range(part.start, part.stop, 1_000):
-            flat, sizes = enc.encode(texts[at : min(at + 1_000, part.stop)])
-            yield features(flat, sizes), sizes
 
+def _weighted(models: Models, part: Part) -> tuple[np.ndarray, np.ndarray]:
+    """Features by inverse document frequency, each document's of length one, and the lengths they had."""
+    w = part.tf * models.idf[part.codes]
+    norm = np.maximum(np.sqrt(np.bincount(part.rows, w * w, part.n)), 1e-9)
+    return w / norm[part.rows], norm
 
-def fit_on_sample(documents: DataFrame, path: str = BYTE_BPE_50K) -> Models:
-    """fit_models on SAMPLE_DOCUMENTS documents; only their vectors reach the driver."""
-    read = documents.where("doc_id is not null and text is not null and text <> ''")
-    ids = [r.doc_id for r in read.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()]
-    if not ids:
-        return fit_models(np.zeros((0, FEATURES), np.float32), [])
+
+def _likeness(models: Models, part: Part) -> tuple[np.ndarray, np.ndarray]:
+    """(what the features count in documents' vectors, of length one less their language's mean, and likeness to each center); languages are told."""
+    v = part.tf * models.idf[part.codes] * part.stretch[part.rows]
+    return v, _times(part, v, models.centers.T) - (models.means @ models.centers.T)[part.own] * part.scale[:, None]
+
+
+def _by(part: Part, group: np.ndarray, groups: int, values: np.ndarray) -> np.ndarray:
+    """Sums of features' values by group of their document (-1 for none), in units of 1 / UNIT."""
+    g = group[part.rows]
+    at, fixed = (g * FEATURES + part.codes)[g >= 0], np.rint(values * UNIT)[g >= 0]
+    return np.bincount(at, fixed, groups * FEATURES).astype(np.int64)
+
+
+def _packed(documents: DataFrame, languages: tuple[str, ...], path: str) -> DataFrame:
+    """Rows of PART_DOCUMENTS documents each: ids, sources, languages, token counts and features that occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, number = encoder(path), {k: i for i, k in enumerate(languages)}
+        for batch in batches:
+            ids, sources = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
+            own = np.array([number.get(k, -1) for k in batch.column(2).to_pylist()], np.int16)
+            texts = batch.column(3).to_pylist()
+            for block in blocks(texts):
+                for begin in range(block.start, block.stop, PART_DOCUMENTS):
+                    at = slice(begin, min(begin + PART_DOCUMENTS, block.stop))
+                    flat, sizes = enc.encode(texts[at])
+                    counts = features(flat, sizes)
+                    rows, codes = np.nonzero(counts)
+                    n = counts[rows, codes]
+                    n = n.astype(np.min_scalar_type(n.max() if len(n) else 0))
+                    held = np.bincount(rows, minlength=len(sizes)).astype(np.int32)
+                    packed = [x.tobytes() for x in (ids[at], sizes.astype(np.int64), held, codes.astype(np.int16), n, own[at])]
+                    arrays = [pa.array([x], pa.binary()) for x in packed]
+                    yield pa.RecordBatch.from_arrays([pa.array([sources[at]], pa.list_(pa.string())), *arrays], PACKED)
+
+    schema = f"{PACKED[0]} array<string>, " + ", ".join(f"{c} binary" for c in PACKED[1:])
+    return spread(documents.select("doc_id", "source", "label", "text"), "doc_id").mapInArrow(run, schema)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    for batch in batches:
+        columns = [batch.column(c) for c in batch.schema.names]
+        for i in range(batch.num_rows):
+            sources, ids, sizes, held, codes, counts, own, *placed = (c[i].as_py() for c in columns)
+            codes = np.frombuffer(codes, np.int16).astype(np.int64)
+            counts = np.frombuffer(counts, f"u{len(counts) // max(len(codes), 1) or 1}")
+            tf = np.log1p(np.arange(256.0))[counts] if counts.itemsize == 1 else np.log1p(counts.astype(float))
+            held = np.frombuffer(held, np.int32)
+            rows = np.repeat(np.arange(len(held)), held)
+            own, placed = np.frombuffer(own, np.int16).astype(np.int64), [np.frombuffer(x) for x in placed]
+            yield Part(np.frombuffer(ids, np.int64), sources, own, np.frombuffer(sizes, np.int64), held, rows, codes, tf, *placed)
+
+
+def _placed(packed: DataFrame, models: Models) -> DataFrame:
+    """The packed features with languages as told, and what makes vectors of them, which no round of the topics changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [c for c, _ in _encoded(path, batch.column(2).to_pylist())]
-            if made:
-                packed = pa.array([row.tobytes() for row in np.concatenate(made)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "lang", "counts"])
+            for i, part in enumerate(_parts([batch])):
+                lang, (w, norm) = _language(models, part), _weighted(models, part)
+                along = np.bincount(part.rows, w * models.means[lang[part.rows], part.codes], part.n)
+                square = np.bincount(part.rows, w * w, part.n) - 2 * along + (models.means**2).sum(1)[lang]
+                scale = np.where(square > 1e-8, 1 / np.sqrt(np.maximum(square, 1e-8)), 0.0)
+                made = [pa.array([x.tobytes()], pa.binary()) for x in (lang.astype(np.int16), scale / norm, scale)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:-1], *made], [*PACKED, "stretch", "scale"])
+
+    return packed.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema) + ", stretch binary, scale binary")
+
+
+def _summed(packed: DataFrame, size: int, make: Callable[[Part], np.ndarray]) -> np.ndarray:
+    """Sum of make over all parts. Whole numbers, so that no order or partitioning of documents changes it; size rows at most reach the driver."""
 
-    rows = spread(read.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text"), "doc_id").mapInArrow(run, "doc_id bigint, lang string, counts binary").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return fit_models(np.stack([np.frombuffer(r.counts, np.float32) for r in rows]), [r.lang for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for part in _parts(batches):
+            total += make(part)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    got = packed.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _farthest(placed: DataFrame, models: Models) -> np.ndarray:
+    """Vector of the document least like the centers, of equal ones the least doc_id's; zeros if there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for part in _parts(batches):
+            asked = np.flatnonzero(part.sizes > 0)
+            if not len(asked):
+                continue
+            v, like = _likeness(models, part)
+            most = like.max(1) if len(models.centers) else np.zeros(part.n)
+            i = asked[np.lexsort((part.ids[asked], most[asked]))[0]]
+            if best is None or (most[i], part.ids[i]) < best[:2]:
+                vector = -models.means[part.own[i]] * part.scale[i]
+                vector[part.codes[part.rows == i]] += v[part.rows == i]
+                best = most[i], part.ids[i], vector.tobytes()
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in best], ["most", "doc_id", "vector"])
+
+    found = placed.mapInArrow(run, "most double, doc_id bigint, vector binary").orderBy("most", "doc_id").limit(1).collect()
+    return np.frombuffer(found[0].vector) if found else np.zeros(FEATURES)
+
+
+def fit(packed: DataFrame, languages: tuple[str, ...]) -> tuple[Models, DataFrame]:
+    """Models of all documents that have tokens, some of them labelled wrongly, and the documents as placed by them: the classifier is fitted twice, the second time to its own labels.
+
+    Each step is one pass over the packed features, of which only sums by
+    language or topic reach the driver. The first center is the document of least
+    id, every further one the document least like those before.
+    """
+    n = len(languages)
+    models = Models(languages, *(np.zeros(s) for s in ((FEATURES, n), n, FEATURES, (n, FEATURES), (0, FEATURES))))
+
+    def of_labels(part: Part, own: np.ndarray) -> np.ndarray:
+        own = np.where(part.sizes > 0, own, -1)
+        told = np.bincount(own[own >= 0], minlength=n), np.bincount(part.codes, minlength=FEATURES), [(part.sizes > 0).sum()]
+        return np.concatenate((_by(part, own, n, part.tf), *told))
+
+    for again in (False, True):
+        before = models
+        sums = _summed(packed, n * FEATURES + n + FEATURES + 1, lambda part: of_labels(part, _language(before, part) if again else part.own))  # noqa: B023
+        tf, labelled, documents = np.split(sums, (n * FEATURES, n * FEATURES + n))
+        tf = tf.reshape(n, FEATURES).T / UNIT + 0.1
+        models = models._replace(feature_logs=np.log(tf / tf.sum(0)), priors=np.log(labelled + 1.0), idf=np.log((1 + documents[-1]) / (1 + documents[:-1])))
+
+    def of_vectors(part: Part) -> np.ndarray:
+        lang = np.where(part.sizes > 0, _language(models, part), -1)
+        return np.concatenate((_by(part, lang, n, _weighted(models, part)[0]), np.bincount(lang[lang >= 0], minlength=n)))
+
+    sums, numbers = np.split(_summed(packed, n * FEATURES + n, of_vectors), (n * FEATURES,))
+    models = models._replace(means=sums.reshape(n, FEATURES) / UNIT / np.maximum(numbers, 1)[:, None])
+    placed = cut(_placed(packed, models))
+    while len(models.centers) < TOPICS:
+        models = models._replace(centers=np.concatenate((models.centers, _farthest(placed, models)[None])))
+
+    def of_topics(part: Part) -> np.ndarray:
+        v, like = _likeness(models, part)
+        near = np.where(part.sizes > 0, like.argmax(1), -1)
+        real = near >= 0
+        taken = np.bincount((near * n + part.own)[real], np.rint(part.scale * UNIT)[real], TOPICS * n).astype(np.int64)
+        return np.concatenate((_by(part, near, TOPICS, v), taken))
+
+    for _ in range(FIT_ROUNDS):
+        sums, taken = np.split(_summed(placed, TOPICS * (FEATURES + n), of_topics) / UNIT, (TOPICS * FEATURES,))
+        taken = taken.reshape(TOPICS, n)
+        moved = sums.reshape(TOPICS, FEATURES) - taken @ models.means
+        moved = np.where((taken.sum(1) > 0)[:, None], moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-9), models.centers)
+        if np.array_equal(moved, models.centers):
+            break
+        models = models._replace(centers=moved)
+    return models, placed
 
 
 def cells_of(documents: DataFrame, targets: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens of the documents whose source has a target; null and empty texts have no tokens."""
     wanted = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").where("doc_id is not null")
-    models = documents.sparkSession.sparkContext.broadcast(tuple(fit_on_sample(wanted, path)))
+    wanted = wanted.withColumn("label", F.lower(F.regexp_replace(F.coalesce("lang", F.lit("")), r"^\s+|\s+$", "")))
+    counted = wanted.where("text <> ''").groupBy(F.when(F.length("label") == 2, F.col("label")).alias("label")).count()
+    # So few labels are frequent that a list of them is short.
+    least = F.greatest(F.lit(LEAST_LANGUAGE) * counted.agg(F.sum("count")).scalar(), F.lit(3))
+    languages = tuple(sorted(r.label for r in counted.where(F.col("label").isNotNull() & (F.col("count") >= least)).collect())) or ("und",)
+    models, placed = fit(cut(_packed(wanted, languages, path)), languages)
+    told = tuple(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Models(*models.value)
+        known = Models(*told)
         names = np.array(known.languages, object)
-        for batch in batches:
-            langs, topics, tokens = [], [], []
-            for counts, sizes in _encoded(path, batch.column(2).to_pylist()):
-                lang, topic = tell(known, counts)
-                langs.extend(names[lang])
-                topics.extend(topic.tolist())
-                tokens.extend(sizes.tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(topics, pa.int32()), pa.array(tokens, pa.int64())],
-                ["doc_id", "source", "lang", "topic", "n_tokens"],
-            )
+        for part in _parts(batches):
+            topic = _likeness(known, part)[1].argmax(1).astype(np.int32)
+            columns = pa.array(part.ids), pa.array(part.sources, pa.string()), pa.array(names[part.own], pa.string()), pa.array(topic), pa.array(part.sizes)
+            yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "source", "lang", "topic", "n_tokens"])
 
-    return spread(wanted.select("doc_id", "source", "text"), "doc_id").mapInArrow(run, "doc_id bigint, source string, lang string, topic int, n_tokens bigint")
+    return placed.mapInArrow(run, "doc_id bigint, source string, lang string, topic int, n_tokens bigint")
 
 
 def rake(cells: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
@@ -251,8 +386,11 @@ def mix_cells(documents: DataFrame, targets: DataFrame, path: str = BYTE_BPE_50K
     gaps = cells.merge(got, on=CELL)
     gaps["gap"] = gaps["ratio"] * gaps["tokens"] - gaps["taken"].astype(float)
     both = taken.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("step")).where("(step = 1 and copies < max_repeats) or (step = -1 and copies > 0)")
-    near = Window.partitionBy(*CELL, "step").orderBy("h", "doc_id")
-    spare = both.select("doc_id", *CELL, "n_tokens", "step", F.row_number().over(near).alias("r")).where(F.col("r") <= CLOSING).drop("r").toPandas()
+    spare = []
+    for order in (("h",), (F.desc("n_tokens"), "h")):  # a long document that was taken can only be closed by itself
+        near = Window.partitionBy(*CELL, "step").orderBy(*order, "doc_id")
+        spare.append(both.select("doc_id", *CELL, "n_tokens", "step", F.row_number().over(near).alias("r")).where(F.col("r") <= CLOSING).drop("r").toPandas())
+    spare = pd.concat(spare).drop_duplicates(["doc_id", "step"])
     change = close_gaps(gaps[[*CELL, "gap"]], spare)
     changed = spark.createDataFrame(sorted(change.items()), "doc_id bigint, change int")
     out = taken.join(F.broadcast(changed), "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))

@@ -422,6 +422,43 @@ def test_mix_of_the_documents(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "source", "n_tokens", "copies"]
 
 
+def _told_by_dense_models(texts, labels):
+    """(language, topic) of texts by models that are fitted on all of them at once, with dense tables."""
+    flat, sizes = tokens.encoder(tokens.BYTE_BPE_50K).encode(texts)
+    tf = np.log1p(mixing.features(flat, sizes).astype(float))
+    often = pd.Series(labels).value_counts()
+    languages = sorted(often.index[often >= 0.005 * len(labels)])
+    own = np.array([languages.index(x) if x in languages else -1 for x in labels])
+    for _ in range(2):
+        total = np.stack([tf[own == k].sum(0) + 0.1 for k in range(len(languages))], 1)
+        own = (tf @ np.log(total / total.sum(0)) + np.log([(own == k).sum() + 1.0 for k in range(len(languages))])).argmax(1)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    vectors = unit(tf * np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))))
+    vectors = unit(vectors - np.stack([vectors[own == k].mean(0) for k in range(len(languages))])[own])
+    centers = vectors[:1]
+    while len(centers) < mixing.TOPICS:
+        centers = np.concatenate((centers, vectors[(vectors @ centers.T).max(1).argmin()][None]))
+    for _ in range(mixing.FIT_ROUNDS):
+        near = (vectors @ centers.T).argmax(1)
+        centers = unit(np.stack([vectors[near == k].sum(0) for k in range(mixing.TOPICS)]))
+    return [languages[k] for k in own], (vectors @ centers.T).argmax(1)
+
+
+def test_mixing_models_are_fitted_on_all_documents(spark):
+    """4,000 documents, of which the 24 in Polish would be too few of any 2,000 to be told by, and none is left out of the topics."""
+    rng = random.Random(4)
+    words = {"en": "the court filed a notice of charge against company and officers in london".split(), "pl": "spółka złożyła wniosek przed sądem rejonowym w warszawie przeciwko zarządowi".split()}
+    labels = ["pl" if i % 160 == 7 else "en" for i in range(4000)]
+    texts = [" ".join(rng.choices(words[x], k=rng.randint(4, 30))) for x in labels]
+    want = _told_by_dense_models(texts, labels)
+    rows = [(i, x, "a", t) for i, (x, t) in enumerate(zip(labels, texts, strict=True))]
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    for parts in (1, 7):
+        documents = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string").repartition(parts)
+        got = mixing.cells_of(documents, targets).toPandas().sort_values("doc_id")
+        assert got["lang"].tolist() == want[0] and got["topic"].tolist() == want[1].tolist()
+
+
 def test_runs_and_long_words_in_reasonable_time(library):
     rng = random.Random(9)
     texts = ["a" * 5001, "ab" * 3000 + "a", "".join(rng.choice("etaoinshrdlu") for _ in range(40_000)), "aaa bbb", "x", "", None]
