@@ -395,6 +395,18 @@ def test_same_place(spark):
     assert got == want
 
 
+def test_surnames_meet_within_blocks_only(spark):
+    """200 alike surnames, of 20 birth dates: all alike ones of one date meet, and none of other dates does."""
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("ab", k=3)) + "landerby" for _ in range(8)} | {"smith", "smyth", "li"})
+    rows = [(i, rng.choice(words), [i % 20]) for i in range(200)]
+    each = spark.createDataFrame(rows, "id bigint, surname string, blocks array<int>")
+    keys = variants.surname_key_table(each)
+    got = {(r.a, r.b) for r in variants.meeting_names(each.withColumnRenamed("id", "a"), each.withColumnRenamed("id", "b"), keys).collect()}
+    same = [(i, j, s, t) for i, s, b in rows for j, t, c in rows if i != j and b == c]
+    assert {(i, j) for i, j, s, t in same if names.same_surname(s, t) > 0} <= got <= {(i, j) for i, j, _, _ in same}
+
+
 # -- mixing
 
 
