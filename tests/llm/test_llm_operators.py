@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from caseloom.llm import banding, mixing, names, pagebody, places, stuffed, tokens, variants
+import __spark_entry__ as entry
+from caseloom.llm import banding, matching, mixing, names, pagebody, places, stuffed, tokens, variants
 from caseloom.llm.addressparts import parts_of, postcode_of
 from caseloom.llm.matching import propagate
 from caseloom.session import ship_package
@@ -356,6 +357,39 @@ def test_propagation_is_exact_on_trees(spark):
     assert propagate(df.limit(0)).count() == 0
 
 
+def shuffles(spark, run):
+    """Planned shuffles of each execution in run: the driver keeps a thread for each, and plans again after each."""
+    spark.range(1).count()
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def listed():
+        bus.waitUntilEmpty()
+        executions = store.executionsList()
+        return [executions.apply(k).executionId() for k in range(executions.size())]
+
+    last = max(listed())
+    run()
+    graphs = [store.planGraph(k).allNodes() for k in listed() if k > last]
+    return [sum(g.apply(k).name() == "Exchange" for k in range(g.size())) for g in graphs]
+
+
+def test_shuffles_of_matching(spark):
+    each = shuffles(spark, lambda: entry.queries()["p3_found"](spark, "/root/testdata/sf0.001").count())
+    assert max(each) <= 16
+    assert sum(each) <= 170
+
+
+def test_names_that_fit(spark):
+    # a pair of names fits if two of its persons' years are equal or one of them has none
+    years = [None, 1960, 1961]
+    sides = [spark.createDataFrame([(k, f"smith{'x' * k}", "john", y, None) for k, y in enumerate(years)], "name bigint, surname string, givens string, year int, month int") for _ in "ab"]
+    keys = variants.surname_key_table(sides[0]).withColumn("keys", F.array(F.lit(0).cast("bigint")))
+    left, right = matching._names(sides[0], "left", "right"), matching._names(sides[1], "right", "left")
+    met = variants.meeting_names(left.select(F.col("name").alias("a"), "surname", "blocks"), right.select((F.col("name") + 10).alias("b"), "surname", "blocks"), keys)
+    want = {(a, b + 10) for a, x in enumerate(years) for b, y in enumerate(years) if x is None or y is None or x == y}
+    assert {(r.a, r.b) for r in met.collect()} == want
+
+
 # -- addresses
 
 
